@@ -80,13 +80,13 @@ def bm25_scores(docs: DataFrame, terms: DataFrame, doc_id: str, content: str,
     post = index.join(broadcast_if_small(vocabulary), "token", "left_semi") if index is not None else \
         postings(docs, doc_id, content, tokenizer, vocabulary)
     st = stats if stats is not None else corpus_stats(docs, content, tokenizer)
+    one = st.select(F.struct("n_docs", "avg_len")).scalar()
     freq = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # query terms with their document frequency: at most one row per query keyword
     weighted = terms.select("query_id", "token").distinct().join(freq, "token")
-    scored = post.join(broadcast_if_small(weighted), "token").select(
+    scored = post.join(weighted, "token").select(
         "query_id", doc_id,
-        (idf(F.col("df"), st.select("n_docs").scalar())
-         * term_weight(F.col("tf"), F.col("doc_len"), st.select("avg_len").scalar())).alias("w"),
+        (idf(F.col("df"), one["n_docs"]) * term_weight(F.col("tf"), F.col("doc_len"), one["avg_len"])).alias("w"),
     )
     return scored.groupBy("query_id", doc_id).agg(F.round(F.sum("w"), 6).alias("bm25"))
 
@@ -104,7 +104,7 @@ def bm25_atoms(atoms: DataFrame, terms: DataFrame, k: int, mode: str = "referenc
     live = atoms.filter(F.col("status") == "active").select("atom_id", "user_id", "importance")
     hits = hits.join(live, "atom_id")
     if query_users is not None:
-        hits = hits.join(broadcast_if_small(query_users), ["query_id", "user_id"], "left_semi")
+        hits = hits.join(query_users, ["query_id", "user_id"], "left_semi")
     cand = top_n(hits, ["query_id"], [F.desc("bm25"), F.asc("atom_id")], 3 * k, "bm25_rank")
     return _blend(cand, k, "atom_id", F.col("importance"), mode, imp_weight, rank_weight)
 
@@ -142,21 +142,21 @@ def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str =
     post = toks.select("diary_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("token")) \
         .groupBy("diary_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     st = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_t")).alias("avg_len"))
+    one = st.select(F.struct("n_docs", "avg_len")).scalar()
     terms = q.select("term").distinct()
     longest = terms.agg(F.coalesce(F.max(F.length("term")), F.lit(1)).alias("n")).select("n").scalar()
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), longest)),
                            lambda i: F.substring(F.col("token"), F.lit(1), i))
     expand = post.select("token").distinct().select("token", F.explode(prefixes).alias("term")).join(
-        broadcast_if_small(terms), "term", "left_semi")
+        terms, "term", "left_semi")
     # a phrase's frequency in a diary is the sum over the tokens the prefix covers
-    per_term = post.join(broadcast_if_small(expand.select("term", "token")), "token").groupBy("term", "diary_id").agg(
+    per_term = post.join(expand.select("term", "token"), "token").groupBy("term", "diary_id").agg(
         F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
     freq = per_term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = per_term.join(broadcast_if_small(freq), "term").select("term", "diary_id", (
-        idf(F.col("df"), st.select("n_docs").scalar())
-        * term_weight(F.col("tf"), F.col("doc_len"), st.select("avg_len").scalar())).alias("w"))
+    w = per_term.join(freq, "term").select("term", "diary_id", (
+        idf(F.col("df"), one["n_docs"]) * term_weight(F.col("tf"), F.col("doc_len"), one["avg_len"])).alias("w"))
     hits = (
-        w.join(broadcast_if_small(q), "term").groupBy("query_id", "diary_id")
+        w.join(q, "term").groupBy("query_id", "diary_id")
         .agg(F.round(F.sum("w"), 6).alias("bm25"), F.count(F.lit(1)).alias("_n"), F.first("n_terms").alias("n_terms"))
         .filter(F.col("_n") == F.col("n_terms"))
     )
@@ -182,7 +182,7 @@ def containing(rows: DataFrame, row_id: str, content: Column, needles: DataFrame
     said = rows.select(row_id, F.explode(F.array_distinct(text.runs(text.ascii_lower(content)))).alias("_run"))
     vocab = said.select("_run").distinct()
     grams = F.array_distinct(F.concat(text.overlapping(F.col("_run"), 3), text.overlapping(F.col("_run"), 2)))
-    near = vocab.select("_run", F.explode(grams).alias("_g")).join(broadcast_if_small(n), "_g")
+    near = vocab.select("_run", F.explode(grams).alias("_g")).join(n, "_g")
     matched = near.filter(F.contains("_run", "_folded")).select("_run", needle).distinct()
     return said.join(broadcast_if_small(matched), "_run").select(row_id, needle).distinct()
 
@@ -202,7 +202,7 @@ def keyword_route(atoms: DataFrame, terms: DataFrame, k: int, query_users: DataF
         like = best.join(other.select("query_id", "token").distinct(), "token")
     else:
         each = scored.join(other.select("query_id", "token").distinct(), "token").join(
-            broadcast_if_small(query_users), ["query_id", "user_id"], "left_semi")
+            query_users, ["query_id", "user_id"], "left_semi")
         like = top_n(each, ["query_id", "token", "user_id"], [F.desc("importance"), F.asc("atom_id")], k)
     both = fts.unionByName(like.select("query_id", "atom_id", F.lit(0.3).alias("hit")))
     both = both.join(live.select("atom_id", "importance"), "atom_id")
@@ -415,7 +415,7 @@ def social_rerank(ranked: DataFrame, atoms: DataFrame, queries: DataFrame, edges
     rows = ranked.select("query_id", "atom_id", "rank").join(size, "query_id").join(owner, "atom_id").join(
         queries.select("query_id", F.col("user_id").alias("uid")), "query_id")
     asked = queries.select(F.col("user_id").alias("uid")).distinct()
-    ties = friend_weights(edges).join(broadcast_if_small(asked), "uid", "left_semi").withColumnRenamed("friend", "owner")
+    ties = friend_weights(edges).join(asked, "uid", "left_semi").withColumnRenamed("friend", "owner")
     rows = rows.join(ties, ["uid", "owner"], "left")
     relevance = F.when(F.col("n") > 1, 1.0 - (F.col("rank") - 1) / (F.col("n") - 1)).otherwise(1.0)
     tie = F.when(F.col("uid") == "", 0.0).when(F.col("owner") == F.col("uid"), 1.0).otherwise(F.coalesce("weight", F.lit(0.0)))
