@@ -42,7 +42,7 @@ SELECT conv_id * 1000 + turn AS msg_id, concat('s_', CAST(conv_id AS STRING)) AS
  TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 60 + turn) * INTERVAL '1' MINUTE AS ts FROM conversations""",
     "activity": """
 SELECT event_id AS msg_id, concat('s_', CAST(user_id AS STRING)) AS session_id, concat('u_', CAST(user_id AS STRING)) AS sender_id,
- event_type AS role, ts FROM events""",
+ event_type AS role, CAST(ts AS TIMESTAMP) AS ts FROM events""",
     "mentions": """
 SELECT DISTINCT concat('entity:p', CAST(l_partkey % 200 AS STRING)) AS from_node, l_orderkey AS diary_id FROM lineitem""",
     "social": """

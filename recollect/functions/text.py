@@ -47,6 +47,15 @@ def words(c: Column) -> Column:
     ).otherwise(runs)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it by name in ``body``.
+
+    Without it the optimizer inlines a computed column everywhere it is used, also
+    inside lambdas, where it would run once per element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def overlapping(c: Column, n: int) -> Column:
     """All overlapping runs of ``n`` characters, in one linear regex pass."""
     return F.regexp_extract_all(c, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1))
@@ -64,17 +73,17 @@ def _char_bigrams(c: Column, at_least: int) -> Column:
 
 def index_tokens(c: Column, tokenizer: Tokenizer = words) -> Column:
     """Tokens to index, with repeats: words of two characters or more, else bigrams."""
-    long_words = F.filter(tokenizer(c), lambda w: F.length(w) >= 2)
-    return F.when(F.size(long_words) > 0, long_words).otherwise(
-        F.coalesce(_char_bigrams(c, 2), F.array().cast("array<string>"))
-    )
+    short = F.coalesce(_char_bigrams(c, 2), F.array().cast("array<string>"))
+    return let(F.filter(tokenizer(c), lambda w: F.length(w) >= 2), lambda w: F.when(F.size(w) > 0, w).otherwise(short))
 
 
 def token_set(c: Column, tokenizer: Tokenizer = words) -> Column:
     """Distinct words (>= 2 chars); short texts fall back to >= 2 bigrams of >= 4 chars, else null."""
+    def grams() -> Column:
+        return let(F.array_distinct(_char_bigrams(c, 4)), lambda g: F.when(F.size(g) >= 2, g))
+
     long_words = F.array_distinct(F.filter(tokenizer(c), lambda w: F.length(w) >= 2))
-    grams = F.array_distinct(_char_bigrams(c, 4))
-    return F.when(F.size(long_words) > 0, long_words).when(F.size(grams) >= 2, grams)
+    return let(long_words, lambda w: F.when(F.size(w) > 0, w).otherwise(grams()))
 
 
 def bigram_set(c: Column) -> Column:

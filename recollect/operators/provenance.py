@@ -12,15 +12,20 @@ from recollect.operators.skew import top_n
 
 def best_segment(content: Column, words: Column, limit: int = 200) -> Column:
     """The sentence with the most keywords (first on ties) with its neighbours, cut to ``limit``."""
-    segs = text.segments(body_of(content))
-    keys = F.transform(words, F.lower)
-    counts = F.transform(segs, lambda s: F.size(F.filter(keys, lambda k: F.contains(F.lower(s), k))))
-    at = F.when(F.array_max(counts) > 0, F.array_position(counts, F.array_max(counts))).otherwise(F.lit(1)).cast("int")
-    first = F.greatest(F.lit(1), at - 1)
-    last = F.least(F.size(segs), at + 1)
-    around = F.array_join(F.slice(segs, first, last - first + 1), "")
-    picked = F.when(F.size(words) == 0, F.element_at(segs, 1)).otherwise(around)
-    return F.when(F.size(segs) > 0, F.substring(picked, 1, limit))
+    def count(seg: Column, keys: Column) -> Column:
+        return text.let(F.lower(seg), lambda low: F.size(F.filter(keys, lambda k: F.contains(low, k))))
+
+    def around(segs: Column, counts: Column) -> Column:
+        at = F.when(F.array_max(counts) > 0, F.array_position(counts, F.array_max(counts))).otherwise(F.lit(1)).cast("int")
+        first = F.greatest(F.lit(1), at - 1)
+        return F.array_join(F.slice(segs, first, F.least(F.size(segs), at + 1) - first + 1), "")
+
+    def pick(segs: Column, keys: Column) -> Column:
+        best = text.let(F.transform(segs, lambda s: count(s, keys)), lambda counts: around(segs, counts))
+        chosen = F.when(F.size(keys) == 0, F.element_at(segs, 1)).otherwise(best)
+        return F.when(F.size(segs) > 0, F.substring(chosen, 1, limit))
+
+    return text.let(text.segments(body_of(content)), lambda segs: text.let(F.transform(words, F.lower), lambda keys: pick(segs, keys)))
 
 
 def trace(ranked: DataFrame, atoms: DataFrame, links: DataFrame, diaries: DataFrame, queries: DataFrame, per_query: int = 2) -> DataFrame:
@@ -33,6 +38,5 @@ def trace(ranked: DataFrame, atoms: DataFrame, links: DataFrame, diaries: DataFr
     d = diaries.select("diary_id", "date", F.col("content").alias("diary"))
     rows = best.join(said, ["query_id", "diary_id"]).join(d, "diary_id").join(queries.select("query_id", "query"), "query_id")
     words = F.array_union(text.keywords(F.col("query")), text.keywords(F.col("said")))
-    # keywords are worked out once per row, before the sentences are compared
-    return rows.withColumn("_w", words).select("query_id", "diary_id", "pos", "date", best_segment(F.col("diary"), F.col("_w")).alias("snippet")).filter(
+    return rows.select("query_id", "diary_id", "pos", "date", best_segment(F.col("diary"), words).alias("snippet")).filter(
         F.col("snippet").isNotNull())

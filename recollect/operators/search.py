@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import text
 from recollect.operators.skew import top_n
-from recollect.session import broadcast_if_small
+from recollect.session import broadcast_if_small, cut_lineage
 
 # BM25 constants of the full-text index.
 K1, B = 1.2, 0.75
@@ -145,9 +145,9 @@ def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str =
     one = st.select(F.struct("n_docs", "avg_len")).scalar()
     terms = q.select("term").distinct()
     longest = terms.agg(F.coalesce(F.max(F.length("term")), F.lit(1)).alias("n")).select("n").scalar()
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), longest)),
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.col("_longest"))),
                            lambda i: F.substring(F.col("token"), F.lit(1), i))
-    expand = post.select("token").distinct().select("token", F.explode(prefixes).alias("term")).join(
+    expand = post.select("token").distinct().withColumn("_longest", longest).select("token", F.explode(prefixes).alias("term")).join(
         terms, "term", "left_semi")
     # a phrase's frequency in a diary is the sum over the tokens the prefix covers
     per_term = post.join(expand.select("term", "token"), "token").groupBy("term", "diary_id").agg(
@@ -183,7 +183,7 @@ def containing(rows: DataFrame, row_id: str, content: Column, needles: DataFrame
     vocab = said.select("_run").distinct()
     grams = F.array_distinct(F.concat(text.overlapping(F.col("_run"), 3), text.overlapping(F.col("_run"), 2)))
     near = vocab.select("_run", F.explode(grams).alias("_g")).join(n, "_g")
-    matched = near.filter(F.contains("_run", "_folded")).select("_run", needle).distinct()
+    matched = cut_lineage(near.filter(F.contains("_run", "_folded")).select("_run", needle).distinct())
     return said.join(broadcast_if_small(matched), "_run").select(row_id, needle).distinct()
 
 
@@ -376,13 +376,19 @@ def rrf(routes: list[DataFrame], k: int, c: int = 60) -> DataFrame:
 
 def multi_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions: DataFrame, terms: DataFrame,
                 query_vectors: DataFrame | None, k: int, **index) -> DataFrame:
-    """Document routes and graph routes fused inside each family, then across."""
+    """Document routes and graph routes fused inside each family, then across.
+
+    A route yields at most ``2k`` rows per query; each is cut from its lineage, so
+    the fusion steps that read it several times do not run it again.
+    """
+    terms = cut_lineage(terms)
     doc = [keyword_route(atoms, terms, 2 * k, **index)]
     graph = [graph_keyword_route(atoms, links, nodes, mentions, terms, 2 * k)]
     if query_vectors is not None:
         asked = query_vectors.join(terms.select("query_id").distinct(), "query_id", "left_semi")
         doc.append(vector_atoms(atoms, asked, 2 * k))
         graph.append(graph_vector_route(atoms, links, nodes, mentions, asked, 2 * k))
+    doc, graph = [cut_lineage(r) for r in doc], [cut_lineage(r) for r in graph]
     return rrf([rrf(doc, k), rrf(graph, k)], k)
 
 

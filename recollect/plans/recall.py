@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.operators import search
+from recollect.session import cut_lineage
 
 
 def recall(queries: DataFrame, atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions: DataFrame,
@@ -13,9 +14,9 @@ def recall(queries: DataFrame, atoms: DataFrame, links: DataFrame, nodes: DataFr
     """``queries(query_id, user_id, query)`` to ``(query_id, atom_id, rank, score)``."""
     asked = queries.filter(F.length(F.trim("query")) > 0)
     terms = search.query_terms(asked)
-    fused = search.multi_route(atoms, links, nodes, mentions, terms, query_vectors, candidates, **index)
+    fused = cut_lineage(search.multi_route(atoms, links, nodes, mentions, terms, query_vectors, candidates, **index))
     filled = search.backfill(fused, atoms, asked, candidates)
-    return search.social_rerank(filled, atoms, asked, edges, k)
+    return cut_lineage(search.social_rerank(cut_lineage(filled), atoms, asked, edges, k))
 
 
 def hybrid(queries: DataFrame, diaries: DataFrame, k: int = 5, **recall_args) -> DataFrame:
