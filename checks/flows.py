@@ -97,7 +97,7 @@ def answer_rows(s, d):
     return do.select("doc_id", "text", raw.alias("raw"))
 
 
-@check("parse_responses", oracle("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS atoms FROM documents"))
+@check("parse_responses", oracle("SELECT doc_id, CASE WHEN doc_id % 4 >= 2 THEN 0 ELSE 1 END AS atoms FROM documents"))
 def _(s, d):
     return capture.parse_responses(answer_rows(s, d)).select("doc_id", F.size(F.filter("atoms", lambda a: a["content"].startswith("src"))).alias("atoms"))
 

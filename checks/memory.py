@@ -162,7 +162,7 @@ def _(s, d):
     return lifecycle.archived_state(di, NOW).select("diary_id", "content", "archived")
 
 
-HITS = "SELECT l_partkey AS atom_id, l_orderkey * 10 + l_linenumber AS seq, l_discount * 8 AS judge, l_tax * 10 AS confidence FROM lineitem"
+HITS = "SELECT l_partkey AS atom_id, l_orderkey * 10 + l_linenumber AS seq, max(l_discount * 8) AS judge, max(l_tax * 10) AS confidence FROM lineitem GROUP BY 1, 2"
 
 
 @check("reinforce", oracle("""SELECT atom_id, round(coalesce(list_reduce(j, lambda acc, x, i: least(0.95, greatest(acc + greatest(0.01, 0.05 / log2(access_count + i + 1)), x * 0.7 + acc * 0.3)), importance), importance), 6) AS importance,
@@ -172,6 +172,7 @@ def _(s, d):
     a, li = tables(s, d, "atoms", "lineitem")
     hits = li.select(F.col("l_partkey").alias("atom_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
                      (F.col("l_discount") * 8).alias("judge"), (F.col("l_tax") * 10).alias("confidence"))
+    hits = hits.groupBy("atom_id", "seq").agg(F.max("judge").alias("judge"), F.max("confidence").alias("confidence"))
     r = lifecycle.reinforce(a.withColumn("expires_at", F.lit(None).cast("timestamp")), hits, NOW)
     return r.select("atom_id", F.round("importance", 6).alias("importance"), "access_count", "confidence")
 
@@ -209,7 +210,7 @@ MATCH = dict(
     sets=SETS,
     new_sets="SELECT atom_id AS new_id, tokens FROM sets WHERE status <> 'active'",
     pairs="""SELECT new_id, atom_id, shared / (ln + rn - shared) AS jaccard FROM (SELECT n.new_id, o.atom_id, len(n.tokens) AS ln, len(o.tokens) AS rn, len(list_intersect(n.tokens, o.tokens)) AS shared
-  FROM new_sets n JOIN sets o ON o.status = 'active' AND len(n.tokens) >= 0.3 * len(o.tokens) AND len(o.tokens) >= 0.3 * len(n.tokens)) WHERE shared / (ln + rn - shared) >= 0.3""",
+  FROM new_sets n JOIN sets o ON o.status = 'active' AND len(n.tokens) >= 0.6 * len(o.tokens) AND len(o.tokens) >= 0.6 * len(n.tokens)) WHERE shared / (ln + rn - shared) >= 0.6""",
     st="SELECT (SELECT count(*) FROM atoms) AS n_docs, (SELECT sum(len(bag)) FROM sets) * 1.0 / (SELECT count(*) FROM atoms) AS avg_len",
     post="SELECT atom_id, token, count(*) AS tf, max(dl) AS doc_len FROM (SELECT atom_id, unnest(bag) AS token, len(bag) AS dl FROM sets) GROUP BY 1, 2",
     fr="SELECT token, count(*) AS df FROM post GROUP BY 1",
@@ -222,29 +223,29 @@ MATCH = dict(
 def _(s, d):
     (a,) = tables(s, d, "atoms")
     new = a.filter("status <> 'active'").select(F.col("atom_id").alias("new_id"), "content")
-    return dedup.jaccard_match(new, a, 0.3)
+    return dedup.jaccard_match(new, a)
 
 
 @check("semantic_pairs", oracle("""SELECT user_id, l_id, r_id, round(jaccard, 6) AS jaccard, sim FROM (
  SELECT a.user_id, a.atom_id AS l_id, b.atom_id AS r_id, len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) AS jaccard,
   round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS sim
  FROM sets a JOIN sets b ON a.user_id = b.user_id AND a.atom_id < b.atom_id AND a.status = 'active' AND b.status = 'active'
- JOIN embeddings x ON x.vec_id = a.atom_id JOIN embeddings y ON y.vec_id = b.atom_id) WHERE jaccard >= 0.05 AND sim > 0.1""", "atoms", sets=SETS))
+ JOIN embeddings x ON x.vec_id = a.atom_id JOIN embeddings y ON y.vec_id = b.atom_id) WHERE jaccard >= 0.1 AND sim > 0.05""", "atoms", sets=SETS))
 def _(s, d):
     (a,) = tables(s, d, "atoms")
-    return dedup.similar_pairs(a, 0.1, 0.05).withColumn("jaccard", F.round("jaccard", 6))
+    return dedup.similar_pairs(a, 0.05, 0.1).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @check("semantic_new", oracle("SELECT new_id, atom_id, sim FROM (" + top("""SELECT s.*, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS sim FROM scored s
  JOIN atoms x ON x.atom_id = s.new_id JOIN atoms y ON y.atom_id = s.atom_id WHERE x.atom_id % 3 = y.atom_id % 3 AND x.embedding IS NOT NULL AND y.embedding IS NOT NULL
  AND list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) > 0.05""", "new_id", "bm25 DESC, atom_id", 1) + ")", "atoms",
-                               **{**MATCH, "pairs": MATCH["pairs"].replace("0.3", "0.05")}))
+                               **{**MATCH, "pairs": MATCH["pairs"].replace("0.6", "0.1")}))
 def _(s, d):
     # the view gives a user only one status: other owners make stored and new rows meet
     (a,) = tables(s, d, "atoms")
     a = a.withColumn("user_id", F.concat(F.lit("g"), (F.col("atom_id") % 3).cast("string")))
     new = a.filter("status <> 'active'").withColumnRenamed("atom_id", "new_id")
-    return dedup.semantic_new(new, a, 0.05, 0.05)
+    return dedup.semantic_new(new, a, 0.05, 0.1)
 
 
 @check("semantic_scan")

@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recollect.sources.tables import spread
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# tables of long texts: one driver file each, so their rows are dealt over the cores
+TEXTS = ("documents", "pages")
+
 NOW = "2024-02-01 00:00:00"
 
 VIEWS: dict[str, str] = {
@@ -71,15 +76,20 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     out = []
     for n in names:
         if n in BASE:
-            out.append(spark.read.parquet(f"{sf_dir}/{n}.parquet"))
+            out.append(base(spark, sf_dir, n))
         else:
             out.append(view(spark, sf_dir, n))
     return out
 
 
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
-    used = {b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in BASE if _uses(sql, b)}
+    used = {b: base(spark, sf_dir, b) for b in BASE if _uses(sql, b)}
     for b in used:
         for word in ("FROM", "JOIN"):
             sql = sql.replace(f"{word} {b}", f"{word} {{{b}}}")

@@ -20,7 +20,8 @@ STOP_WORDS = (
 ).split()
 
 _HAN = r"\p{IsHan}"
-_RUNS = rf"({_HAN}+|[\p{{L}}\p{{N}}_&&[^{_HAN}]]+)"
+_WORD = r"[\p{L}\p{N}_]+"
+_MIXED = rf"{_HAN}+|[\p{{L}}\p{{N}}_&&[^{_HAN}]]+"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -38,13 +39,12 @@ def words(c: Column) -> Column:
     A caller with a real segmenter passes its own column function (for example a
     pandas UDF) wherever an operator takes ``tokenizer``.
     """
-    runs = F.regexp_extract_all(F.lower(c), F.lit(_RUNS), F.lit(1))
-    return F.when(
-        c.rlike(_HAN),
-        F.flatten(
-            F.transform(runs, lambda r: F.when(r.rlike(f"^{_HAN}"), _han_bigrams(r)).otherwise(F.array(r)))
-        ),
-    ).otherwise(runs)
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
+
+    split_han = F.flatten(F.transform(found(_MIXED), lambda r: F.when(r.rlike(f"^{_HAN}"), _han_bigrams(r)).otherwise(F.array(r))))
+    # most texts are plain ASCII, where the cheapest pattern does
+    return F.when(F.octet_length(c) == F.length(c), found("[a-z0-9_]+")).when(c.rlike(_HAN), split_han).otherwise(found(_WORD))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,7 +63,7 @@ def overlapping(c: Column, n: int) -> Column:
 
 def runs(c: Column) -> Column:
     """Letter/digit runs, unsegmented."""
-    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
 
 
 def _char_bigrams(c: Column, at_least: int) -> Column:

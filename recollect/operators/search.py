@@ -31,8 +31,10 @@ def postings(docs: DataFrame, doc_id: str, content: str, tokenizer: text.Tokeniz
     run shuffles a small part of the text. Without it the result is the index to
     write once, bucketed by token.
     """
-    toks = docs.select(F.col(doc_id), text.index_tokens(F.col(content), tokenizer).alias("_t"))
-    rows = toks.select(doc_id, F.size("_t").alias("doc_len"), F.explode("_t").alias("token"))
+    # length and token travel together, so a text is tokenised once
+    sized = text.let(text.index_tokens(F.col(content), tokenizer), lambda t: F.transform(
+        t, lambda w: F.struct(F.size(t).alias("doc_len"), w.alias("token"))))
+    rows = docs.select(doc_id, F.inline(sized))
     if vocabulary is not None:
         rows = rows.join(broadcast_if_small(vocabulary.select("token").distinct()), "token", "left_semi")
     return rows.groupBy(doc_id, "token").agg(
@@ -135,11 +137,12 @@ def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str =
     term) and equi-joined to the terms, so no term meets the whole vocabulary.
     """
     q = queries.select("query_id", F.array_distinct(
-        F.regexp_extract_all(F.lower("query"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("_t"))
+        text.runs(F.lower("query"))).alias("_t"))
     q = q.filter(F.size("_t") > 0).select("query_id", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
-    runs = F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    runs = text.runs(F.lower("content"))
     toks = diaries.select("diary_id", runs.alias("_t"))
-    post = toks.select("diary_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("token")) \
+    sized = text.let(runs, lambda t: F.transform(t, lambda w: F.struct(F.size(t).alias("doc_len"), w.alias("token"))))
+    post = diaries.select("diary_id", F.inline(sized)) \
         .groupBy("diary_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     st = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_t")).alias("avg_len"))
     one = st.select(F.struct("n_docs", "avg_len")).scalar()

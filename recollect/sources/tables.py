@@ -28,6 +28,16 @@ def load(spark: SparkSession, root: str, name: str, where: str | None = None) ->
     return df.filter(where) if where else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores when the input has fewer splits than cores.
+
+    For heavy work per row (tokenising long texts) on few or unsplittable files; a
+    table with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def save(df: DataFrame, root: str, name: str, partition_by: tuple[str, ...] = ()) -> None:
     """Write one table of a *new* snapshot directory (never the one being read)."""
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{root}/{name}")
