@@ -172,19 +172,24 @@ def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str =
 # ---------------------------------------------------------------- containment
 
 
-def containing(rows: DataFrame, row_id: str, content: Column, needles: DataFrame, needle: str = "token") -> DataFrame:
+def containing(rows: DataFrame, row_id: str, content: Column, needles: DataFrame, needle: str = "token",
+               names: bool = False) -> DataFrame:
     """``(row_id, needle)`` for rows whose text contains the needle (ASCII case-blind).
 
-    A needle is a word, so it can only lie inside one letter/digit run of a text.
-    The distinct runs are matched first, over a character-gram equi-join; the
-    texts then meet only the runs that matched, without being shuffled.
+    In running text a needle is a word, so it can only lie inside one letter/digit
+    run: the distinct runs are matched first, over a character-gram equi-join, and
+    the texts then meet only the runs that matched, without being shuffled. With
+    ``names`` the fields are short and taken whole, and a needle may hold any
+    characters.
     """
-    n = needles.select(needle).distinct().filter(F.length(needle) >= 2).withColumn(
-        "_folded", text.ascii_lower(F.col(needle)))
-    n = n.withColumn("_g", F.substring("_folded", 1, 3))
-    said = rows.select(row_id, F.explode(F.array_distinct(text.runs(text.ascii_lower(content)))).alias("_run"))
+    least = 1 if names else 2
+    n = needles.select(needle).distinct().filter(F.length(needle) >= least).withColumn(
+        "_folded", text.ascii_lower(F.col(needle))).withColumn("_g", F.substring("_folded", 1, 3))
+    low = text.ascii_lower(content)
+    parts = F.array(low) if names else F.array_distinct(text.runs(low))
+    said = rows.select(row_id, F.explode(parts).alias("_run"))
     vocab = said.select("_run").distinct()
-    grams = F.array_distinct(F.concat(text.overlapping(F.col("_run"), 3), text.overlapping(F.col("_run"), 2)))
+    grams = F.array_distinct(F.concat(*[text.overlapping(F.col("_run"), k) for k in range(least, 4)]))
     near = vocab.select("_run", F.explode(grams).alias("_g")).join(n, "_g")
     matched = cut_lineage(near.filter(F.contains("_run", "_folded")).select("_run", needle).distinct())
     return said.join(broadcast_if_small(matched), "_run").select(row_id, needle).distinct()
@@ -323,7 +328,7 @@ def match_nodes(nodes: DataFrame, terms: DataFrame, per_keyword: int = 10) -> Da
     kinds = nodes.filter(F.col("type").isin("entity", "user", "topic", "emotion"))
     # one text holding both fields; the separator cannot occur inside a keyword
     joined = F.concat_ws("\n", F.col("name"), F.col("node_id"))
-    found = containing(kinds, "node_id", joined, terms)
+    found = containing(kinds, "node_id", joined, terms.filter(F.length("token") >= 2), names=True)
     first = top_n(found, ["token"], [F.asc("node_id")], per_keyword)
     return first.join(terms.select("query_id", "token").distinct(), "token").select("query_id", "node_id").distinct()
 

@@ -228,6 +228,16 @@ def test_cooccurrence_blocks_and_copies(spark, monkeypatch):
     assert rows(graph.cooccurrence(m), "from_node", "to_node", "weight") == sorted((a, b, float(n)) for (a, b), n in want.items())
 
 
+def test_neighbors_by_any_name(spark):
+    n = spark.createDataFrame([("entity:o'brien_(x)", "O'Brien (X)", "entity"), ("entity:b", "B", "entity"), ("date:1", "b", "date")], "node_id string, name string, type string")
+    e = spark.createDataFrame([("entity:b", "entity:o'brien_(x)", "co_occur", 2.0, "active"), ("entity:b", "date:1", "belongs_to", .5, "dormant")],
+                              "from_node string, to_node string, relation_type string, weight double, status string")
+    q = spark.createDataFrame([(1, "O'Brien (X)"), (2, "nobody")], "query_id bigint, name string")
+    nodes, edges = graph.neighbors(n, e, q)
+    assert rows(nodes, "query_id", "node_id") == [(1, "entity:b"), (1, "entity:o'brien_(x)")]
+    assert rows(edges, "query_id", "weight") == [(1, 2.0)]
+
+
 def test_index_diary(spark):
     d = spark.createDataFrame([(1, "---\ndate: 2026-06-01\nmood: Happy\ntopics: [\"Work\"]\n---\n见 [[张三]] 和 [[Ann]]")], "diary_id bigint, content string")
     u = spark.createDataFrame([("u_1", ["Ann"])], "uid string, names array<string>")

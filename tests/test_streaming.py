@@ -77,9 +77,9 @@ def test_count_stream_equals_batch(spark, tmp_path):
 
 def test_idle_stream_fires_after_silence(spark, tmp_path):
     src = str(tmp_path / "in")
-    early = [(i, "s0", "u0", pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)) for i in range(3)]
-    later = [(9, "s1", "u0", pd.Timestamp("2024-01-01 06:00:00"))]
-    last = [(10, "s1", "u0", pd.Timestamp("2024-01-01 12:00:00"))]
+    early = [(i, "s0", "u0", (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)).to_pydatetime()) for i in range(3)]
+    later = [(9, "s1", "u0", pd.Timestamp("2024-01-01 06:00:00").to_pydatetime())]
+    last = [(10, "s1", "u0", pd.Timestamp("2024-01-01 12:00:00").to_pydatetime())]
     for i, part in enumerate((early, later, last)):
         spark.createDataFrame(part, MSG).coalesce(1).write.mode("append").parquet(src)
     stream = triggers.message_stream(spark, src, MSG, maxFilesPerTrigger="1")
