@@ -11,7 +11,7 @@ from recollect.functions import diary as dia
 from recollect.functions import facts
 from recollect.operators import capture, models
 from recollect.plans import maintenance
-from recollect.plans.memorize import memorize
+from recollect.plans.remember import remember
 from recollect.plans.store import Store
 from recollect.streaming import triggers
 
@@ -116,7 +116,7 @@ def small_store(s, d) -> Store:
     return Store(atoms=a, diaries=di, links=l)
 
 
-@check("memorize", oracle("""SELECT n.user_id, n.content, n.atom_type, n.importance, d.k AS linked FROM (
+@check("remember", oracle("""SELECT n.user_id, n.content, n.atom_type, n.importance, d.k AS linked FROM (
  SELECT user_id, regexp_replace(fact, '^\\s+|\\s+$', '', 'g') AS content, CASE WHEN {f} AND {a} THEN 'planned' WHEN {p} AND {a} THEN 'episodic' WHEN {l} THEN 'preference' WHEN {r} THEN 'relational' WHEN {st} THEN 'factual'
   WHEN {a} THEN 'episodic' ELSE 'factual' END AS atom_type, 0.8 AS importance FROM (SELECT f.*, m.sender_id AS user_id FROM f JOIN messages m USING (msg_id)) WHERE length(regexp_replace(fact, '^\\s+|\\s+$', '', 'g')) >= 4) n, (SELECT 1 AS k) d""".format(
     f=_m(facts.FUTURE), a=_m(facts.ACTION), p=_m(facts.PAST), l=_m(facts.PREFERENCE), r=_m(facts.RELATION), st=_m(facts.STATIVE)), "messages", f=FACTS))
@@ -126,7 +126,7 @@ def _(s, d):
         F.col("msg_id").alias("request_id"), F.col("sender_id").alias("user_id"), F.lit("2024-02-01").cast("date").alias("diary_date"), F.col("fact").alias("summary"),
         F.array("fact").alias("facts"), F.array().cast("array<string>").alias("entities"), F.lit(0.8).alias("importance"))
     st = small_store(s, d)
-    out = memorize(req, st, NOW)
+    out = remember(req, st, NOW)
     new = out.atoms.join(st.atoms.select("atom_id"), "atom_id", "left_anti")
     n = out.links.groupBy("atom_id").agg(F.count(F.lit(1)).cast("int").alias("linked"))
     return new.join(n, "atom_id").select("user_id", "content", "atom_type", "importance", "linked")

@@ -17,7 +17,7 @@ from recollect.plans import recall as recall_plan
 
 PREFIX_K = 3
 PREFIX = dict(
-    asked="SELECT item_id AS query_id, regexp_extract_all(lower(text), '%s', 1)[1:2] AS t FROM benchmark" % _RUN,
+    asked="SELECT item_id AS query_id, regexp_extract_all(lower(text), '%s', 1) AS t FROM benchmark" % _RUN,
     q="SELECT query_id, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM asked",
     toks="SELECT diary_id, unnest(t) AS token, len(t) AS doc_len FROM (SELECT diary_id, regexp_extract_all(lower(content), '%s', 1) AS t FROM diaries)" % _RUN,
     st="SELECT (SELECT count(*) FROM diaries) AS n_docs, (SELECT count(*) FROM toks) * 1.0 / (SELECT count(*) FROM diaries) AS avg_len",
@@ -34,8 +34,7 @@ PREFIX = dict(
     "query_id", "score DESC, br", PREFIX_K) + ")", "diaries", **PREFIX))
 def _(s, d):
     di, b = tables(s, d, "diaries", "benchmark")
-    two = F.array_join(F.slice(text.runs(F.lower("text")), 1, 2), " ")
-    return search.diary_prefix(di, b.select(F.col("item_id").alias("query_id"), two.alias("query")), PREFIX_K)
+    return search.diary_prefix(di, b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), PREFIX_K)
 
 
 # sentences end at newlines in the driver's texts; the oracle cuts there
@@ -103,8 +102,7 @@ def _(s, d):
 def _(s, d):
     (di,) = tables(s, d, "diaries")
     i = recall_inputs(s, d)
-    q = i["queries"].withColumn("query", F.array_join(F.slice(text.runs(F.lower("query")), 1, 2), " "))
-    return recall_plan.hybrid(diaries=di, k=3, **{**i, "queries": q, "query_vectors": None})
+    return recall_plan.hybrid(diaries=di, k=3, **i)
 
 
 @check("social_rerank", oracle("SELECT query_id, atom_id, rank, score FROM ranked", "atoms", "recall_queries", "social", **{
