@@ -31,7 +31,7 @@ def _(s, d):
 
 
 @check("timeline_top3", oracle(f"""SELECT t.user_id, CAST(t.diary_date AS VARCHAR) AS diary_date, n, avg_importance, accesses, top_atoms FROM (
- SELECT user_id, diary_date, count(*) AS n, round(avg(importance), 2) AS avg_importance, CAST(sum(access_count) AS BIGINT) AS accesses FROM atoms WHERE status = 'active' GROUP BY 1, 2) t
+ SELECT user_id, diary_date, count(*) AS n, CAST(round(CAST(avg(CAST(importance AS DECIMAL(18,9))) AS DECIMAL(18,6)), 2) AS DOUBLE) AS avg_importance, CAST(sum(access_count) AS BIGINT) AS accesses FROM atoms WHERE status = 'active' GROUP BY 1, 2) t
  JOIN (SELECT user_id, diary_date, string_agg(atom_id || ':' || substr(content, 1, 100), '|' ORDER BY rank) AS top_atoms FROM (
   {top("SELECT * FROM atoms WHERE status = 'active'", "user_id, diary_date", "importance DESC, atom_id", 3)}) GROUP BY 1, 2) b USING (user_id, diary_date)""", "atoms"))
 def _(s, d):

@@ -19,8 +19,9 @@ def atom_stats(atoms: DataFrame) -> DataFrame:
 def timeline(atoms: DataFrame, top: int = 3) -> DataFrame:
     """Per user and date: count, mean importance, accesses and the most important texts."""
     rows = atoms.filter(F.col("status") == "active")
+    exact = F.col("importance").cast("decimal(18,9)")  # the mean must not depend on the order of addition
     days = rows.groupBy("user_id", "diary_date").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("importance"), 2).alias("avg_importance"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(exact), 2).cast("double").alias("avg_importance"),
         F.sum("access_count").alias("accesses"))
     best = top_n(rows.select("user_id", "diary_date", "atom_id", "importance", "content"), ["user_id", "diary_date"],
                  [F.desc("importance"), F.asc("atom_id")], top)
