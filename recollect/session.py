@@ -33,16 +33,28 @@ def build_session(cores: str = "*", app: str = "recollect", **conf: str) -> Spar
     return s
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Iterative operators call this once per round, so a lost executor costs one
-    round. A local folder is only chosen when the session names none (tests).
+    Only a local session (tests, benches) gets one of its own when the setting is missing.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    set_ = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None)
+    if named is None and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not set_.isDefined():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="recollect-ckpt-"))
+        named = named or sc._jsc.sc().getCheckpointDir().get()
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder.
+
+    Iterative operators call this once per round, so a lost executor costs one round.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
