@@ -53,4 +53,6 @@ def test_odd_rows(spark, library):
         text = r["text"] or ""
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode(text)
         assert r["decoded"] == text.replace("▁", " ")
+    for r in pieces.encode(docs, PATH, decoded="decoded").collect():
+        assert r["decoded"] == (r["text"] or "").replace("▁", " ") == pieces.model(PATH).decode(r["ids"])
     assert pieces.decode(pieces.encode(docs.limit(0), PATH), PATH).count() == 0
