@@ -64,7 +64,7 @@ def test_ids_are_the_tokenizers_own(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    texts = ["Hello, WORLD!  don't\n\n\tstop 123 é É ΣΑΣ İ <|endoftext|> x<|startoftext|>y", "\u3000wide\u00a0 e \u0301x\x1fy \u2028z", "", None, "a" * 300 + " b" * 5000, " \n ", "It's\r\nI'LL we're"]
+    texts = ["Hello, WORLD!  don't\n\n\tstop 123 é É ΣΑΣ İ <|endoftext|> x<|startoftext|>y", "\u3000wide\u00a0 e \u0301x\x1fy \u2028z", "", None, "a" * 300 + " b" * 5000, " \n ", "It's\r\nI'LL we're", "x² ½ Ⅷ ①a ª́ ǅ ß ẞ", "A_b__c --- ###a### $1,234.56 a\u0301b \u0301", "\u0e01\u0e33 กำ ١٢ मराठी नि한국어 ｱ"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
     got = packing.token_pieces(df, PATH).collect()
     for i, x in enumerate(texts):
@@ -73,6 +73,19 @@ def test_ids_are_the_tokenizers_own(spark):
         assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i) == want
 
 
+def test_random_words_are_the_tokenizers_own(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "WORDS", 150)
+    monkeypatch.setattr(packing, "TABLE_BITS", 12)
+    rng, whole, mine = random.Random(3), Tokenizer.from_file(PATH), packing._WordIds(PATH)
+    alphabet = "abcXYZéÉß²½_-.,'<|>#09 \n\t\u00a0\u0301\u0130\u03a3日"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    for a in range(0, 3000, 100):
+        for t, ids in zip(texts[a : a + 100], mine.encode(texts[a : a + 100])):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark).withColumns({"piece": F.lit("x"), "length": F.lit("x"), "sequence_id": F.lit("x")})
     cut = packing.token_pieces(docs, PATH)
