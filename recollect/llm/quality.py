@@ -112,14 +112,15 @@ def quality(docs: DataFrame, text: str = "text", lost: float = LOST) -> DataFram
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned")
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.drop(*[c for c in made if c != text])
-    counted = base.withColumn("_w", words(F.col(text))).withColumn(
-        "_q", F.struct(
+    # made by a generator of one row, so that a later filter on the verdict does not compute it all again
+    counted = base.withColumn("_w", words(F.col(text))).select("*", F.explode(F.array(
+        F.struct(
             F.size("_w").cast("long").alias("n_words"),
             F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
             (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             repeat_words(F.col("_w")).alias("n_repeat_words"),
             clean_lines(F.col(text), lost).alias("lines"),
-        )
+        ))).alias("_q"),
     )
     out = counted.withColumns({
         "n_words": F.col("_q.n_words"), "word_chars": F.col("_q.word_chars"), "n_symbols": F.col("_q.n_symbols"),
