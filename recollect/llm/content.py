@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.batches import bounded
+
 SAMPLE_PAGES = 500  # labelled pages that weights are learned from
 MOST_FEATURES = 5_000  # of the learned weights those of the most frequent features reach the driver
 SHRINK = 50.0  # words that a prior weight counts as
@@ -126,7 +128,8 @@ def learned(pages: DataFrame, html: str = "html", key: str = "page_id", sample:
 
     able = pages.where(F.lower(html).rlike("<(article|main)[ >]")).select(F.col(html).alias("h"), F.xxhash64(F.lit(7), F.col(key), F.length(html)).alias("o"))
     some = able.orderBy("o", F.length("h")).limit(sample)
-    counts = some.select(F.inline(run("h"))).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # called non-deterministic so that the filter Spark infers from inline() does not run it a second time
+    counts = some.select(run.asNondeterministic()("h").alias("o")).select(F.inline("o")).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     rows = counts.orderBy(F.desc(F.col("a") + F.col("b")), "f").limit(MOST_FEATURES).collect()
     inside = sum(r["a"] for r in rows if r["f"][0] != "<") + 1
     outside = sum(r["b"] for r in rows if r["f"][0] != "<") + 1
@@ -203,4 +206,4 @@ def main_text(pages: DataFrame, html: str = "html", key: str = "page_id", weight
         for b in batches:
             yield pd.Series([extract(x, w) for x in b])
 
-    return pages.withColumn("text", run(F.col(html)))
+    return bounded(pages).withColumn("text", run(F.col(html)))

@@ -173,7 +173,8 @@ def _nearest_of_length(items: DataFrame, queries: DataFrame, n: int, k: int, cur
             for b in batches:
                 yield pd.Series(list(grid.keys(np.stack(b.to_numpy()).astype(np.float64)).T) if len(b) else [])
 
-        return df.withColumn("k", keys("v")).select("id", "v", F.posexplode("k").alias("curve", "key"))
+        # called non-deterministic so that the filter Spark infers from posexplode() does not run it a second time
+        return df.withColumn("k", keys.asNondeterministic()("v")).select("id", "v", F.posexplode("k").alias("curve", "key"))
 
     placed = cut_lineage(keyed(items))
     asked = keyed(queries)

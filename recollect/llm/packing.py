@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from recollect.llm.batches import bounded, gathered
 from recollect.session import cut_lineage
 
-WORDS = 1_000_000  # distinct units whose ids a Python worker remembers before it starts afresh
+WORDS = 500_000  # distinct units whose ids a Python worker remembers before it starts afresh
 SLICES = 64  # of each length when ranks are counted
-TABLE_BITS = 21
+TABLE_BITS = 20
 LONG = 256  # bytes of the longest unit that is remembered
-GATHERED = 1 << 20  # characters of texts that are encoded together
+GATHERED = 1 << 19  # characters of texts that are encoded together
 BLANK, LETTER, DIGIT, OTHER, STRANGE = range(5)
 _KIND = np.full(256, OTHER, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = BLANK
@@ -41,15 +41,15 @@ class _WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
         self.parts = Tokenizer.from_file(path)
         self.parts.normalizer = normalizers.Sequence([])
         self.parts.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        vocabulary = self.whole.get_vocab()
+        vocabulary = self.parts.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.path, self.whole = path, None
         self.weights = np.random.default_rng(9).integers(0, 1 << 64, LONG, dtype=np.uint64)
         self._reset()
 
@@ -57,7 +57,7 @@ class _WordIds:
         self.keys = np.zeros(1 << TABLE_BITS, np.uint64)  # open addressing: hash of a word, 0 where free
         self.slots = np.zeros(1 << TABLE_BITS, np.int32)  # its number
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by number: its ids in the pool
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.pool, self.used = np.zeros(1 << 19, np.uint32), 0
 
     def _learn(self, units: list[str], odd: np.ndarray) -> np.ndarray:
         """Adds the ids of new units to the pool; their numbers. Plain units are one part each."""
@@ -73,7 +73,11 @@ class _WordIds:
             for k, x, y in zip(some, [0, *stops], stops):
                 data[k] = raw[x:y]
         rest = np.flatnonzero(odd).tolist()
-        for k, e in zip(rest, self.whole.encode_batch_fast([units[k] for k in rest], add_special_tokens=False)):
+        if rest and self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        for k, e in zip(rest, self.whole.encode_batch_fast([units[k] for k in rest], add_special_tokens=False) if rest else ()):
             data[k] = np.array(e.ids, dtype="<u4").tobytes()
         n = np.fromiter(map(len, data), np.int64, len(data)) // 4
         ids = np.frombuffer(b"".join(data), "<u4")
@@ -210,7 +214,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
             yield pd.Series(_pieces_of(texts, tokenizer, end_id, capacity))
 
     rest = [c for c in docs.columns if c not in (text, "piece", "start", "length", "ids_crc32", "_cut", "_p")]
-    cut_rows = bounded(docs).withColumn("_cut", cut(F.col(text)))
+    # called non-deterministic so that the filter Spark infers from explode() does not run it a second time
+    cut_rows = bounded(docs).withColumn("_cut", cut.asNondeterministic()(F.col(text)))
     return cut_rows.select(*rest, F.explode("_cut").alias("_p")).select(*rest, "_p.*")
 
 

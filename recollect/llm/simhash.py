@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.batches import bounded
 from recollect.llm.components import components
 from recollect.session import broadcast_if_small, cut_lineage
 
@@ -21,7 +22,7 @@ CELL_BITS = 12  # depth of the histogram from which the trie is cut into blocks
 LEAF = 500_000  # codes of a block at most (but for codes that share CELL_BITS bits, which are sliced)
 BLOCKS = 64  # blocks of all tables together at least, if there are enough codes
 BESIDE = 4_000_000  # codes that one task compares its block with at most
-FRONTIER = 1 << 20  # trie node pairs held at once
+FRONTIER = 1 << 18  # trie node pairs held at once
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -91,7 +92,7 @@ def signatures(docs: DataFrame, ngram: int = 3, words: int = 1, text: str = "tex
         for b in batches:
             yield pd.Series([signature(t, ngram, words) for t in b])
 
-    return docs.withColumn(name, run(F.col(text)))
+    return bounded(docs).withColumn(name, run(F.col(text)))
 
 
 # --- the join -------------------------------------------------------------------------
