@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.batches import bounded
+from recollect.operators.skew import top_n
+
 STEPS = 64  # bytes of one stretch; the network starts afresh at each
 HIDDEN = 8
 BLOCK = 2048  # stretches that run side by side
@@ -175,7 +178,7 @@ def training_sample(docs: DataFrame, per_lang: int = 600, chars: int = 384, text
     h = F.xxhash64(F.lit(11), F.col(key), F.length(text))
     place = F.pmod(h, F.greatest(F.length(text) - chars, F.lit(1))).cast("int") + 1
     slim = able.select(F.col(lang).alias("_l"), h.alias("_h"), F.substring(F.col(text), 1, chars).alias("_a"), F.substr(F.col(text), place, F.lit(chars)).alias("_b"))
-    top = slim.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_a", "_b"))).where(F.col("_r") <= per_lang)
+    top = top_n(slim, ["_l"], [F.col("_h"), F.col("_a"), F.col("_b")], per_lang, "_r")
     got = sorted((r["_l"], r["_r"], r["_a"], r["_b"]) for r in top.collect())
     texts, langs = [], []
     for l, _, a, b in got:
@@ -202,7 +205,7 @@ def label(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
     able: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(net.langs))
     rest = docs.drop(*[c for c in ("lang_pred", "score", "_p") if c != text])
-    return rest.withColumn("_p", run(F.col(text))).withColumns({
+    return bounded(rest).withColumn("_p", run(F.col(text))).withColumns({
         "lang_pred": F.when(able, F.col("_p.lang_pred")).otherwise("und"),
         "score": F.when(able, F.least(F.col("_p.score"), F.lit(1.0))).otherwise(0.0),
     }).drop("_p")
