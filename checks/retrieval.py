@@ -80,7 +80,7 @@ def _(spark, d):
 
 
 @check("bm25_rank_only", oracle("SELECT query_id, atom_id, rank, bm25 FROM (" + top(
-    "SELECT h.* FROM hits h JOIN atoms a USING (atom_id) WHERE a.status = 'active'", "query_id", "bm25 DESC, atom_id", 500) + ")",
+    "SELECT h.* FROM hits h JOIN atoms a USING (atom_id) WHERE a.status = 'active'", "query_id", "bm25 DESC, atom_id", 1 << 60) + ")",
     *RQ, **INDEX, hits=bm25_cte("true")))
 def _(spark, d):
     a, q = tables(spark, d, "atoms", "recall_queries")

@@ -84,7 +84,7 @@ def _(s, d):
     return reports.months(*tables(s, d, "diaries"))
 
 
-@check("diary_dates", oracle("SELECT DISTINCT CAST(date AS VARCHAR) AS date FROM diaries ORDER BY 1 DESC LIMIT 100", "diaries"))
+@check("diary_dates", oracle("SELECT DISTINCT CAST(date AS VARCHAR) AS date FROM diaries", "diaries"))
 def _(s, d):
     return reports.dates(*tables(s, d, "diaries")).select(day())
 

@@ -70,9 +70,10 @@ def months(diaries: DataFrame) -> DataFrame:
         F.desc("year"), F.desc("month"))
 
 
-def dates(diaries: DataFrame, limit: int = 100) -> DataFrame:
-    """Dates that hold a diary, newest first, as many as the report shows."""
-    return diaries.select("date").distinct().orderBy(F.desc("date")).limit(limit)
+def dates(diaries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Dates that hold a diary: all of them, or the newest ``limit``, newest first."""
+    all_ = diaries.select("date").distinct()
+    return all_ if limit is None else all_.orderBy(F.desc("date")).limit(limit)
 
 
 def today_counts(atoms: DataFrame, diaries: DataFrame, today: str) -> DataFrame:

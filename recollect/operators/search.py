@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text
@@ -123,11 +123,15 @@ def _blend(cand: DataFrame, k: int, doc_id: str, importance: Column, mode: str,
     return out.select("query_id", doc_id, "rank", "score", "bm25")
 
 
-def bm25_ranked(atoms: DataFrame, terms: DataFrame, limit: int = 500, **index) -> DataFrame:
-    """Rank-only form: all active matches by BM25, first ``limit`` per query."""
+def bm25_ranked(atoms: DataFrame, terms: DataFrame, limit: int | None = None, **index) -> DataFrame:
+    """Rank-only form: all active matches by BM25, or the first ``limit`` per query."""
     hits = bm25_scores(atoms, terms, "atom_id", "content", **index)
     live = atoms.filter(F.col("status") == "active").select("atom_id")
-    return top_n(hits.join(live, "atom_id"), ["query_id"], [F.desc("bm25"), F.asc("atom_id")], limit)
+    order = [F.desc("bm25"), F.asc("atom_id")]
+    hits = hits.join(live, "atom_id")
+    if limit is not None:
+        return top_n(hits, ["query_id"], order, limit)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
 def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str = "reference") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +14,15 @@ def export(diaries: DataFrame, path: str, now: str) -> None:
     """Diaries as text under ``year=/month=/date=``, entries in date and id order.
 
     Range partitioning keeps the order over files and lets a day with very many
-    entries span several of them.
+    entries span several of them. A run writes its own folder and replaces what an
+    earlier try of the same run left; text lines that look like an entry mark get a backslash.
     """
     day = F.col("date").cast("string")
     entry = F.concat(F.lit(_MARK), F.col("diary_id").cast("string"), F.lit("\nid: "), F.col("diary_id").cast("string"),
-                     F.lit(f"\ndate: "), day, F.lit(f"\narchived_at: {now}\n---\n"), F.regexp_replace("content", r"^\s+|\s+$", ""), F.lit("\n"))
+                     F.lit(f"\ndate: "), day, F.lit(f"\narchived_at: {now}\n---\n"), F.regexp_replace(F.regexp_replace("content", r"^\s+|\s+$", ""), f"(?m)^(\\\\*{_MARK})", r"\\$1"), F.lit("\n"))
     rows = diaries.repartitionByRange("date", "diary_id").sortWithinPartitions("date", "diary_id")
     rows.select(F.year("date").alias("year"), F.month("date").alias("month"), day.alias("date"), entry.alias("value")).write.mode(
-        "append").partitionBy("year", "month", "date").text(path)
+        "overwrite").partitionBy("year", "month", "date").text(f"{path}/run={re.sub('[^0-9A-Za-z]+', '-', now)}")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -29,6 +32,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_extract(whole, r"^(\d+)\n", 1).try_cast("bigint")
     cut = F.position(F.lit("\n---\n"), whole)
     body = F.regexp_replace(F.substring(whole, cut + 5, F.length(whole)), r"^\s+|\s+$", "")
+    body = F.regexp_replace(body, f"(?m)^\\\\(\\\\*{_MARK})", "$1")
     return rows.select(head.alias("diary_id"), body.alias("content")).filter(F.col("diary_id").isNotNull())
 
 
