@@ -8,7 +8,6 @@ from checks.registry import check
 from checks.retrieval import _RUN, TERMS, recall_ctes, recall_inputs, top, GS, multi_ctes, GV
 from checks.store import people, stamp, USERS
 from checks.views import NOW, oracle, tables
-from recollect.functions import diary as dia
 from recollect.functions import text
 from recollect.operators import context, dedup, graph, lifecycle, provenance, quality, search, social, users
 from recollect.plans import recall as recall_plan
@@ -53,12 +52,12 @@ Q_KWS = "SELECT query_id, list(token) AS kws FROM terms GROUP BY 1"
 
 
 @check("best_segment", oracle("SELECT query_id, diary_id, snippet FROM (" + seg_sql(
-    "SELECT l.doc_id AS query_id, s.diary_id, s.segs, k.kws FROM labels l JOIN doc_segs s ON s.diary_id = l.doc_id JOIN q_kws k ON k.query_id = l.doc_id % 40", "query_id, diary_id") + ") WHERE snippet IS NOT NULL",
+    "SELECT s.diary_id AS query_id, s.diary_id, s.segs, k.kws FROM doc_segs s JOIN q_kws k ON k.query_id = s.diary_id % (SELECT count(*) FROM recall_queries)", "query_id, diary_id") + ") WHERE snippet IS NOT NULL",
     "diaries", "recall_queries", terms=TERMS, doc_segs=DOC_SEGS, q_kws=Q_KWS))
 def _(s, d):
-    di, la, q = tables(s, d, "diaries", "labels", "recall_queries")
+    di, q = tables(s, d, "diaries", "recall_queries")
     k = q.select(F.col("query_id").alias("k"), text.keywords(F.col("query")).alias("kws"))
-    rows = la.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("diary_id"), (F.col("doc_id") % 40).alias("k")).join(k, "k").join(di, "diary_id")
+    rows = di.withColumn("query_id", F.col("diary_id")).withColumn("k", F.col("diary_id") % q.count()).join(k, "k")
     return rows.select("query_id", "diary_id", provenance.best_segment(F.col("content"), F.col("kws")).alias("snippet")).filter("snippet IS NOT NULL")
 
 
@@ -106,15 +105,15 @@ def _(s, d):
 
 
 @check("social_rerank", oracle("SELECT query_id, atom_id, rank, score FROM ranked", "atoms", "recall_queries", "social", **{
-    "filled": "SELECT query_id, atom_id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, atom_id) AS rank FROM recall_queries, (SELECT atom_id, importance FROM atoms WHERE status = 'active' ORDER BY importance DESC, atom_id LIMIT 40)",
+    "filled": "SELECT query_id, atom_id, row_number() OVER (PARTITION BY query_id ORDER BY importance DESC, atom_id) AS rank FROM recall_queries, (SELECT atom_id, importance FROM atoms WHERE status = 'active' ORDER BY importance DESC, atom_id)",
     "friends": recall_ctes(5, 10)["friends"], "ranked": recall_ctes(10, 10)["ranked"]}))
 def _(s, d):
     a, q, so = tables(s, d, "atoms", "recall_queries", "social")
-    best = a.filter("status = 'active'").orderBy(F.desc("importance"), "atom_id").limit(40).select("atom_id", "importance")
+    best = a.filter("status = 'active'").select("atom_id", "importance")
     empty = best.select(F.lit(0).cast("bigint").alias("query_id"), "atom_id", F.lit(1).alias("rank")).filter("false")
-    filled = search.backfill(empty, a.join(best.select("atom_id"), "atom_id", "left_semi"), q, 40)
+    filled = search.backfill(empty, a.join(best.select("atom_id"), "atom_id", "left_semi"), q, 1_000_000)
     from recollect.operators.skew import top_n
-    ordered = top_n(filled.drop("rank").join(best, "atom_id"), ["query_id"], [F.desc("importance"), F.asc("atom_id")], 40)
+    ordered = top_n(filled.drop("rank").join(best, "atom_id"), ["query_id"], [F.desc("importance"), F.asc("atom_id")], 1_000_000)
     return search.social_rerank(ordered, a, q, so, 10)
 
 
@@ -152,11 +151,10 @@ def _(s, d):
     return lifecycle.drop_expired(*tables(s, d, "atoms"), NOW).select("atom_id", "status")
 
 
-@check("archive_candidates", oracle(f"""SELECT diary_id, CASE WHEN due THEN substr(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), 1, 200) ELSE content END AS content, archived OR due AS archived FROM (
+@check("archive_candidates", oracle(f"""SELECT diary_id, CASE WHEN due THEN substr(content, 1, 200) ELSE content END AS content, archived OR due AS archived FROM (
  SELECT *, created_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND importance < 0.1 AND NOT archived AS due FROM diaries)""", "diaries"))
 def _(s, d):
     (di,) = tables(s, d, "diaries")
-    di = di.withColumn("content", F.when((F.col("importance") < 0.1) & ~F.col("archived") & (F.col("created_at") < F.lit("2023-11-03").cast("timestamp")), dia.strip(F.col("content"))).otherwise(F.col("content")))
     return lifecycle.archived_state(di, NOW).select("diary_id", "content", "archived")
 
 
@@ -281,7 +279,7 @@ def _(s, d):
     return c.select(F.col("c_custkey").alias("k"), text.canonical_name(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("name"))
 
 
-@check("edge_merge", oracle("""SELECT from_node, to_node, relation_type, min(diary_id) AS diary_id, round(sum(weight), 6) AS weight FROM (
+@check("edge_merge", oracle("""SELECT from_node, to_node, relation_type, coalesce(min(diary_id) FILTER (diary_id % 2 = 0), min(diary_id)) AS diary_id, round(sum(weight), 6) AS weight FROM (
  SELECT concat('p', CAST(least(l_partkey, l_suppkey) AS STRING)) AS a, concat('p', CAST(greatest(l_partkey, l_suppkey) AS STRING)) AS b, l_orderkey AS diary_id, l_quantity AS weight FROM lineitem) x,
  LATERAL (SELECT least(a, b) AS from_node, greatest(a, b) AS to_node, 'co_occur' AS relation_type) y GROUP BY 1, 2, 3"""))
 def _(s, d):
@@ -292,9 +290,7 @@ def _(s, d):
     none = s.createDataFrame([], "from_node string, to_node string, relation_type string, diary_id bigint, weight double")
     half = delta.filter("diary_id % 2 = 0")
     merged = graph.merge_edges(graph.merge_edges(none, half), delta.filter("diary_id % 2 = 1"))
-    first = delta.select(F.least("from_node", "to_node").alias("from_node"), F.greatest("from_node", "to_node").alias("to_node"), "diary_id").groupBy(
-        "from_node", "to_node").agg(F.min("diary_id").alias("diary_id"))
-    return merged.drop("diary_id").join(first, ["from_node", "to_node"]).withColumn("weight", F.round("weight", 6)).select(
+    return merged.withColumn("weight", F.round("weight", 6)).select(
         "from_node", "to_node", "relation_type", "diary_id", "weight")
 
 

@@ -354,7 +354,7 @@ def _(s, d):
 def _(s, d):
     (m,) = tables(s, d, "messages")
     one_line = m.withColumn("content", F.regexp_replace("content", r"[\n:]", " "))
-    text = log.recent_context(one_line, 50, "2024-01-20 12:00:00")
+    text = log.recent_context(one_line, 1_000_000, "2024-01-20 12:00:00")
     return reports.speaker_counts(text.withColumnRenamed("context", "text")).select("session_id", "speakers")
 
 
