@@ -33,8 +33,11 @@ def trace(ranked: DataFrame, atoms: DataFrame, links: DataFrame, diaries: DataFr
     hit = ranked.select("query_id", "atom_id").join(links.select("atom_id", "diary_id", "importance"), "atom_id")
     best = top_n(hit.groupBy("query_id", "diary_id").agg(F.max("importance").alias("imp")), ["query_id"],
                  [F.desc("imp"), F.asc("diary_id")], per_query, "pos")
-    said = hit.join(atoms.select("atom_id", "content"), "atom_id").groupBy("query_id", "diary_id").agg(
-        F.max_by("content", F.struct(F.length("content"), F.col("importance"), -F.col("atom_id"))).alias("said"))
+    # which atom speaks is settled by lengths and ids; only the chosen texts are fetched
+    sizes = atoms.select("atom_id", F.length("content").alias("_size"))
+    speaker = hit.join(best, ["query_id", "diary_id"], "left_semi").join(sizes, "atom_id").groupBy("query_id", "diary_id").agg(
+        F.max_by("atom_id", F.struct("_size", "importance", -F.col("atom_id"))).alias("atom_id"))
+    said = speaker.join(atoms.select("atom_id", F.col("content").alias("said")), "atom_id").drop("atom_id")
     d = diaries.select("diary_id", "date", F.col("content").alias("diary"))
     rows = best.join(said, ["query_id", "diary_id"]).join(d, "diary_id").join(queries.select("query_id", "query"), "query_id")
     words = F.array_union(text.keywords(F.col("query")), text.keywords(F.col("said")))

@@ -339,7 +339,11 @@ def match_nodes(nodes: DataFrame, terms: DataFrame, per_keyword: int = 10) -> Da
 
 def linked_diaries(mentions: DataFrame, heads: DataFrame, keys: list[str], newest: int = 30) -> DataFrame:
     """Newest distinct diaries mentioned by the head nodes, per key set."""
-    hit = heads.join(mentions.filter(F.col("diary_id") > 0).select(F.col("from_node").alias("node_id"), "diary_id"), "node_id")
+    told = mentions.filter(F.col("diary_id") > 0).select(F.col("from_node").alias("node_id"), "diary_id")
+    told = told.join(heads.select("node_id").distinct(), "node_id", "left_semi").distinct()
+    # the newest of a key set lie among the newest of each of its nodes
+    told = top_n(told, ["node_id"], [F.desc("diary_id")], newest, "_newest").drop("_newest")
+    hit = heads.join(told, "node_id")
     return top_n(hit.select(*keys, "diary_id").distinct(), keys, [F.desc("diary_id")], newest, "diary_rank")
 
 
