@@ -119,7 +119,7 @@ def observe(page: str) -> list[tuple[str, int, int]]:
 
 
 def learned(pages: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log-odds weights from at most ``sample`` labelled pages, the prior weights counting as 50 words."""
+    """Log-odds weights from ``sample`` labelled pages (and repeats of them), the prior weights counting as 50 words."""
 
     @F.pandas_udf("array<struct<f:string,a:bigint,b:bigint>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -127,7 +127,9 @@ def learned(pages: DataFrame, html: str = "html", key: str = "page_id", sample:
             yield pd.Series([observe(x) for x in b])
 
     able = pages.where(F.lower(html).rlike("<(article|main)[ >]")).select(F.col(html).alias("h"), F.xxhash64(F.lit(7), F.col(key), F.length(html)).alias("o"))
-    some = able.orderBy("o", F.length("h")).limit(sample)
+    # the hashes alone are ranked; the pages follow by a filter, exact repeats of a chosen page included
+    edge = able.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    some = able.where(F.col("o") <= F.lit(edge).cast("long"))
     # called non-deterministic so that the filter Spark infers from inline() does not run it a second time
     counts = some.select(run.asNondeterministic()("h").alias("o")).select(F.inline("o")).groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     rows = counts.orderBy(F.desc(F.col("a") + F.col("b")), "f").limit(MOST_FEATURES).collect()
