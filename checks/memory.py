@@ -30,8 +30,8 @@ PREFIX = dict(
 
 @check("diary_prefix_search", oracle("SELECT query_id, diary_id, rank, score, bm25 FROM (" + top(
     "SELECT *, round((CASE WHEN importance = 0 THEN 0.5 ELSE importance END) * 0.6, 6) AS score FROM (" +
-    top("SELECT h.*, d.importance FROM hit h JOIN diaries d USING (diary_id)", "query_id", "bm25 DESC, diary_id", 3 * PREFIX_K, rank="br") + ")",
-    "query_id", "score DESC, br", PREFIX_K) + ")", "diaries", **PREFIX))
+    "SELECT h.*, d.importance FROM hit h JOIN diaries d USING (diary_id))",
+    "query_id", "score DESC, bm25 DESC, diary_id", PREFIX_K) + ")", "diaries", **PREFIX))
 def _(s, d):
     di, b = tables(s, d, "diaries", "benchmark")
     return search.diary_prefix(di, b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), PREFIX_K)
@@ -78,11 +78,11 @@ TRACE = dict(
 )
 
 
-@check("provenance_top2", oracle("SELECT query_id, diary_id, pos, snippet FROM segged WHERE snippet IS NOT NULL", *GS, **recall_ctes(5, 10), **TRACE))
+@check("provenance_top2", oracle("SELECT query_id, diary_id, pos, snippet FROM segged WHERE snippet IS NOT NULL", *GS, **recall_ctes(5, 50), **TRACE))
 def _(s, d):
     i = recall_inputs(s, d)
     (di,) = tables(s, d, "diaries")
-    r = recall_plan.recall(**i, k=5, candidates=10)
+    r = recall_plan.recall(**i, k=5)
     return provenance.trace(r, i["atoms"], i["links"], di, i["queries"]).select("query_id", "diary_id", "pos", "snippet")
 
 
@@ -92,7 +92,7 @@ def _(s, d):
     di, p = tables(s, d, "diaries", "personas")
     from recollect.session import cut_lineage
 
-    r = cut_lineage(recall_plan.recall(**i, k=5, candidates=10))
+    r = cut_lineage(recall_plan.recall(**i, k=5))
     t = provenance.trace(r, i["atoms"], i["links"], di, i["queries"])
     p = p.withColumn("tags", F.array("tier"))
     return context.render(i["queries"], r, i["atoms"], t, p, NOW)
@@ -274,7 +274,7 @@ def _(s, d):
     return p.select("page_id", F.array_join(text.wikilinks(linked), ",").alias("names"))
 
 
-@check("canonical_names", oracle("SELECT c_custkey AS k, substr(regexp_replace(lower(trim(concat(c_name, ' ', c_mktsegment))), '\\s+', '_', 'g'), 1, 80) AS name FROM customer"))
+@check("canonical_names", oracle("SELECT c_custkey AS k, regexp_replace(lower(trim(concat(c_name, ' ', c_mktsegment))), '\\s+', '_', 'g') AS name FROM customer"))
 def _(s, d):
     (c,) = tables(s, d, "customer")
     return c.select(F.col("c_custkey").alias("k"), text.canonical_name(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("name"))
@@ -314,9 +314,9 @@ def _(s, d):
 NB = dict(
     nodes="SELECT from_node AS node_id, from_node AS name, 'entity' AS type FROM mentions GROUP BY 1",
     asked="SELECT p_partkey AS query_id, concat('p', CAST(p_partkey AS STRING)) AS token FROM part",
-    start=top("SELECT DISTINCT query_id, node_id FROM asked JOIN nodes ON contains(node_id, token)", "query_id", "node_id", 5),
+    start="SELECT DISTINCT query_id, node_id FROM asked JOIN nodes ON contains(node_id, token)",
     edges="SELECT from_node, concat('diary:', CAST(diary_id AS STRING)) AS to_node, CAST(diary_id % 97 AS DOUBLE) AS weight FROM mentions",
-    kept=top("SELECT query_id, e.* FROM edges e JOIN start s ON s.node_id = e.from_node", "query_id", "weight DESC, from_node, to_node", 50),
+    kept="SELECT query_id, e.* FROM edges e JOIN start s ON s.node_id = e.from_node",
 )
 
 
@@ -444,16 +444,19 @@ def _(s, d):
     return fresh.filter("seen > 0").select("uid", F.col("seen").cast("bigint").alias("seen"))
 
 
-@check("persona_inputs", oracle("SELECT user_id, string_agg('- ' || substr(content, 1, 200), chr(10) ORDER BY rank) AS facts FROM (" + top(
-    "SELECT * FROM atoms WHERE status = 'active'", "user_id", "atom_id DESC", 10) + ") GROUP BY 1", "atoms"))
+@check("persona_inputs", oracle("""SELECT user_id, facts, coalesce(held, '（无新日记）') AS diaries
+ FROM (SELECT user_id, string_agg('- ' || content, chr(10) ORDER BY rank) AS facts FROM last GROUP BY 1)
+ LEFT JOIN (SELECT user_id, string_agg('- ' || content, chr(10) ORDER BY rank) AS held FROM kept GROUP BY 1) USING (user_id)""", "atoms", "links", "diaries",
+    last=top("SELECT * FROM atoms WHERE status = 'active'", "user_id", "atom_id DESC", 10),
+    kept=top("SELECT DISTINCT l.user_id, d.diary_id, d.content FROM last l JOIN links k USING (atom_id) JOIN diaries d ON d.diary_id = k.diary_id", "user_id", "diary_id DESC", 5)))
 def _(s, d):
     p, a, l, di = tables(s, d, "personas", "atoms", "links", "diaries")
-    return users.incremental_inputs(p.withColumn("tags", F.array("tier")), a, l, di).select("user_id", "facts")
+    return users.incremental_inputs(p.withColumn("tags", F.array("tier")), a, l, di, facts=10, held=5).select("user_id", "facts", "diaries")
 
 
 @check("persona_rebuild_inputs", oracle("SELECT user_id, count(*) AS facts FROM (" + top("SELECT * FROM atoms WHERE status = 'active' AND importance > 0.3", "user_id", "created_at DESC, atom_id", 30) + ") GROUP BY 1", "atoms"))
 def _(s, d):
-    r = users.rebuild_inputs(*tables(s, d, "atoms", "links", "diaries"))
+    r = users.rebuild_inputs(*tables(s, d, "atoms", "links", "diaries"), facts=30, held=10)
     return r.select("user_id", F.size(F.filter(F.split("facts", "\n"), lambda x: x.rlike(r"^- \[(episodic|factual|preference|planned|relational|unknown)\] "))).cast("bigint").alias("facts"))
 
 

@@ -14,7 +14,7 @@ _STOP = "'" + "','".join(search.text.STOP_WORDS) + "'"
 
 # keyword rows of the recall queries
 TERMS = f"""
-SELECT query_id, unnest(kws[1:15]) AS token FROM (
+SELECT query_id, unnest(kws) AS token FROM (
  SELECT query_id, list_filter(list_distinct_ordered, lambda x: (regexp_full_match(x, '[a-z0-9_]+') OR length(x) >= 2) AND x NOT IN ({_STOP})) AS kws FROM (
   SELECT query_id, list_transform(list_filter(list_zip(toks, range(1, len(toks) + 1)), lambda z: list_position(toks, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_ordered
   FROM (SELECT query_id, regexp_extract_all(lower(query), '{_RUN}', 1) AS toks FROM recall_queries)))"""
@@ -39,10 +39,11 @@ def top(src: str, keys: str, order: str, k: int, cols: str = "*", rank: str = "r
     return f"SELECT {cols}, row_number() OVER ({part}ORDER BY {order}) AS {rank} FROM ({src}) QUALIFY {rank} <= {k}"
 
 
-def bm25_top(hits: str, k: int) -> str:
-    cand = top(f"SELECT h.*, a.importance FROM {hits} h JOIN atoms a USING (atom_id) WHERE a.status = 'active'",
-               "query_id", "bm25 DESC, atom_id", 3 * k, rank="bm25_rank")
-    return top(f"SELECT *, round(importance * 0.6, 6) AS score FROM ({cand})", "query_id", "score DESC, bm25_rank", k)
+def bm25_top(hits: str, k: int, pool: int | None = None) -> str:
+    cand = f"SELECT h.*, a.importance FROM {hits} h JOIN atoms a USING (atom_id) WHERE a.status = 'active'"
+    if pool is not None:
+        cand = top(cand, "query_id", "bm25 DESC, atom_id", pool, rank="bm25_rank")
+    return top(f"SELECT *, round(importance * 0.6, 6) AS score FROM ({cand})", "query_id", "score DESC, bm25 DESC, atom_id", k)
 
 
 INDEX = dict(terms=TERMS, doc_tokens=DOC_TOKENS, stats=STATS, postings=POSTINGS, freq=FREQ)
@@ -62,10 +63,17 @@ def _(spark, d):
     return search.bm25_atoms(a.drop("embedding"), search.query_terms(q), 10)
 
 
+@check("bm25_pool", oracle("SELECT query_id, atom_id, rank, score, bm25 FROM picked", *RQ, **INDEX,
+                           hits=bm25_cte("true"), picked=bm25_top("hits", 10, 30)))
+def _(spark, d):
+    a, q = tables(spark, d, "atoms", "recall_queries")
+    return search.bm25_atoms(a.drop("embedding"), search.query_terms(q), 10, pool=30)
+
+
 @check("bm25_normalized", oracle(
-    "SELECT query_id, atom_id, rank, score, bm25 FROM (" + top("SELECT *, round(importance * 0.6 + bm25 / max(bm25) OVER (PARTITION BY query_id) * 0.4, 6) AS score FROM cand", "query_id", "score DESC, bm25_rank", 10) + ")",
+    "SELECT query_id, atom_id, rank, score, bm25 FROM (" + top("SELECT *, round(importance * 0.6 + bm25 / max(bm25) OVER (PARTITION BY query_id) * 0.4, 6) AS score FROM cand", "query_id", "score DESC, bm25 DESC, atom_id", 10) + ")",
     *RQ, **INDEX, hits=bm25_cte("true"),
-    cand=top("SELECT h.*, a.importance FROM hits h JOIN atoms a USING (atom_id) WHERE a.status = 'active'", "query_id", "bm25 DESC, atom_id", 30, rank="bm25_rank")))
+    cand="SELECT h.*, a.importance FROM hits h JOIN atoms a USING (atom_id) WHERE a.status = 'active'"))
 def _(spark, d):
     a, q = tables(spark, d, "atoms", "recall_queries")
     return search.bm25_atoms(a.drop("embedding"), search.query_terms(q), 10, mode="normalized")
@@ -90,11 +98,10 @@ def _(spark, d):
 def keyword_ctes(k: int) -> dict[str, str]:
     return dict(
         INDEX,
-        ascii_hits=bm25_cte("length(token) >= 2 AND regexp_full_match(token, '[a-z0-9_]+')"),
-        fts=bm25_top("ascii_hits", k),
-        like_hits=top("""SELECT t.token, a.atom_id, a.importance FROM (SELECT DISTINCT token FROM terms WHERE length(token) >= 2 AND NOT regexp_full_match(token, '[a-z0-9_]+')) t
+        fts="""SELECT DISTINCT query_id, atom_id FROM terms JOIN postings USING (token) JOIN atoms a USING (atom_id)
+   WHERE a.status = 'active' AND length(token) >= 2 AND regexp_full_match(token, '[a-z0-9_]+')""",
+        like_hits="""SELECT t.token, a.atom_id, a.importance FROM (SELECT DISTINCT token FROM terms WHERE length(token) >= 2 AND NOT regexp_full_match(token, '[a-z0-9_]+')) t
    JOIN atoms a ON a.status = 'active' AND contains(translate(a.content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(t.token, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))""",
-                      "token", "importance DESC, atom_id", k),
         kw_scored="""SELECT query_id, atom_id, importance, round(importance * 0.7 + least(sum(hit), 1.0) * 0.3, 6) AS score FROM (
    SELECT query_id, atom_id, a.importance, a.importance AS hit FROM fts JOIN atoms a USING (atom_id)
    UNION ALL SELECT query_id, atom_id, importance, 0.3 AS hit FROM like_hits JOIN (SELECT DISTINCT query_id, token FROM terms) USING (token)) GROUP BY 1, 2, 3""",
@@ -153,12 +160,12 @@ def word_graph(spark, d):
     return nodes, mentions
 
 
-def graph_kw_ctes(k: int) -> dict[str, str]:
+def graph_kw_ctes(k: int, per_keyword: int = 1 << 60, newest: int = 1 << 60) -> dict[str, str]:
     return dict(
         node_hits=top("""SELECT t.token, n.node_id FROM (SELECT DISTINCT token FROM terms WHERE length(token) >= 2) t JOIN nodes n ON contains(concat(n.name, chr(10), n.node_id), t.token)""",
-                      "token", "node_id", 10),
+                      "token", "node_id", per_keyword),
         heads="SELECT DISTINCT query_id, node_id FROM node_hits JOIN terms USING (token)",
-        head_diaries=top("SELECT DISTINCT query_id, diary_id FROM heads JOIN mentions ON from_node = node_id AND diary_id > 0", "query_id", "diary_id DESC", 30),
+        head_diaries=top("SELECT DISTINCT query_id, diary_id FROM heads JOIN mentions ON from_node = node_id AND diary_id > 0", "query_id", "diary_id DESC", newest),
         gk_route=top("""SELECT query_id, atom_id, max(l.importance) AS score FROM head_diaries h JOIN links l USING (diary_id) JOIN atoms a USING (atom_id) WHERE a.status = 'active' GROUP BY 1, 2""",
                      "query_id", "score DESC, atom_id", k),
     )
@@ -166,13 +173,13 @@ def graph_kw_ctes(k: int) -> dict[str, str]:
 
 def graph_vec_ctes(k: int) -> dict[str, str]:
     return dict(
-        newest_nodes="SELECT node_id, embedding FROM nodes WHERE embedding IS NOT NULL ORDER BY node_id LIMIT 500",
+        vector_nodes="SELECT node_id, embedding FROM nodes WHERE embedding IS NOT NULL",
         near_nodes=top("""SELECT q.query_id, n.node_id, round(greatest(0.0, list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS sim
-   FROM (SELECT * FROM recall_queries WHERE embedding IS NOT NULL AND query_id IN (SELECT query_id FROM terms)) q, newest_nodes n""", "query_id", "sim DESC, node_id", 3 * k),
-        node_diaries=top("SELECT DISTINCT from_node AS node_id, diary_id FROM mentions WHERE diary_id > 0 AND from_node IN (SELECT node_id FROM near_nodes)", "node_id", "diary_id DESC", 30),
-        node_atoms=top("""SELECT node_id, atom_id, max(l.importance) AS li, max(a.importance) AS ai FROM node_diaries JOIN links l USING (diary_id) JOIN atoms a USING (atom_id) WHERE a.status = 'active' GROUP BY 1, 2""",
-                       "node_id", "li DESC, atom_id", 3),
-        gv_route=top("SELECT query_id, atom_id, round(max(sim * ai), 6) AS score FROM near_nodes JOIN node_atoms USING (node_id) GROUP BY 1, 2", "query_id", "score DESC, atom_id", k, "query_id, atom_id, score"),
+   FROM (SELECT * FROM recall_queries WHERE embedding IS NOT NULL AND query_id IN (SELECT query_id FROM terms)) q, vector_nodes n""", "query_id", "sim DESC, node_id", 3 * k),
+        node_diaries="SELECT DISTINCT from_node AS node_id, diary_id FROM mentions WHERE diary_id > 0 AND from_node IN (SELECT node_id FROM near_nodes)",
+        node_atoms="SELECT DISTINCT node_id, atom_id, a.importance AS ai FROM node_diaries JOIN links l USING (diary_id) JOIN atoms a USING (atom_id) WHERE a.status = 'active'",
+        gv_route="SELECT query_id, atom_id, rank, round(score, 6) AS score FROM (" + top(
+            "SELECT query_id, atom_id, max(sim * ai) AS score FROM near_nodes JOIN node_atoms USING (node_id) WHERE sim > 0 GROUP BY 1, 2", "query_id", "score DESC, atom_id", k, "query_id, atom_id, score") + ")",
     )
 
 
@@ -195,8 +202,15 @@ def _(spark, d):
     return search.graph_keyword_route(a.drop("embedding"), l, nodes, m, search.query_terms(q), 10)
 
 
+@check("graph_keyword_newest", oracle("SELECT query_id, atom_id, rank, round(score, 6) AS score FROM gk_route", *GV, **GRAPH, **graph_kw_ctes(10, 10, 30)))
+def _(spark, d):
+    a, l, q = tables(spark, d, "atoms", "links", "recall_queries")
+    nodes, m = word_graph(spark, d)
+    return search.graph_keyword_route(a.drop("embedding"), l, nodes, m, search.query_terms(q), 10, mode="reference")
+
+
 @check("node_vector_search", oracle("SELECT query_id, node_id, rank, sim AS score FROM near_nodes", "diaries", "recall_queries", terms=TERMS, nodes=WORD_NODES,
-                                    **{k: v for k, v in graph_vec_ctes(5).items() if k in ("newest_nodes", "near_nodes")}))
+                                    **{k: v for k, v in graph_vec_ctes(5).items() if k in ("vector_nodes", "near_nodes")}))
 def _(spark, d):
     (q,) = tables(spark, d, "recall_queries")
     nodes, _m = word_graph(spark, d)

@@ -326,6 +326,12 @@ def _(s, d):
     return log.context_since(m, watermarks(m), 3).select("msg_id", "session_id")
 
 
+@check("context_since_all", oracle("SELECT msg_id, session_id FROM messages LEFT JOIN wm w USING (session_id) WHERE msg_id > coalesce(w.last_consolidated_msg_id, 0)", "messages", wm=WM))
+def _(s, d):
+    (m,) = tables(s, d, "messages")
+    return log.context_since(m, watermarks(m)).select("msg_id", "session_id")
+
+
 @check("unprocessed_rounds", oracle("SELECT session_id, count(*) AS messages, count(*) // 2 AS rounds FROM activity a JOIN wm USING (session_id) WHERE msg_id > last_consolidated_msg_id GROUP BY 1", "activity", wm=AWM))
 def _(s, d):
     (a,) = tables(s, d, "activity")

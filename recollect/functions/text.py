@@ -91,14 +91,14 @@ def bigram_set(c: Column) -> Column:
     return F.array_distinct(_char_bigrams(c, 4))
 
 
-def keywords(c: Column, limit: int = 15, tokenizer: Tokenizer = words) -> Column:
-    """Query keywords: ASCII words whole, other words >= 2 chars, no stop words, first ``limit``."""
+def keywords(c: Column, limit: int | None = None, tokenizer: Tokenizer = words) -> Column:
+    """Query keywords: ASCII words whole, other words >= 2 chars, no stop words; all or the first ``limit``."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     kept = F.filter(
         tokenizer(c),
         lambda w: (w.rlike("^[a-z0-9_]+$") | (F.length(w) >= 2)) & ~F.array_contains(stop, w),
     )
-    return F.slice(F.array_distinct(kept), 1, limit)
+    return F.array_distinct(kept) if limit is None else F.slice(F.array_distinct(kept), 1, limit)
 
 
 def is_ascii_word(c: Column) -> Column:
@@ -112,9 +112,9 @@ def wikilinks(c: Column) -> Column:
 
 
 def canonical_name(c: Column) -> Column:
-    """Node key of a name: lower case, spaces to ``_``, full-width marks to ASCII, 80 chars."""
+    """Node key of a name: lower case, spaces to ``_``, full-width marks to ASCII."""
     tight = F.regexp_replace(F.trim(F.lower(c)), r"\s+", "_")
-    return F.substring(F.translate(tight, "（）：；", "():;"), 1, 80)
+    return F.translate(tight, "（）：；", "():;")
 
 
 def segments(c: Column, at_least: int = 4) -> Column:

@@ -28,8 +28,12 @@ def best_segment(content: Column, words: Column, limit: int = 200) -> Column:
     return text.let(text.segments(body_of(content)), lambda segs: text.let(F.transform(words, F.lower), lambda keys: pick(segs, keys)))
 
 
-def trace(ranked: DataFrame, atoms: DataFrame, links: DataFrame, diaries: DataFrame, queries: DataFrame, per_query: int = 2) -> DataFrame:
-    """``(query_id, diary_id, pos, date, snippet)`` of the best linked diaries of recalled atoms."""
+def trace(ranked: DataFrame, atoms: DataFrame, links: DataFrame, diaries: DataFrame, queries: DataFrame, per_query: int = 2,
+          said_keywords: int | None = 15) -> DataFrame:
+    """``(query_id, diary_id, pos, date, snippet)`` of the best linked diaries of recalled atoms.
+
+    A snippet is chosen by all keywords of the query and the first ``said_keywords`` of the fact.
+    """
     hit = ranked.select("query_id", "atom_id").join(links.select("atom_id", "diary_id", "importance"), "atom_id")
     best = top_n(hit.groupBy("query_id", "diary_id").agg(F.max("importance").alias("imp")), ["query_id"],
                  [F.desc("imp"), F.asc("diary_id")], per_query, "pos")
@@ -40,6 +44,6 @@ def trace(ranked: DataFrame, atoms: DataFrame, links: DataFrame, diaries: DataFr
     said = speaker.join(atoms.select("atom_id", F.col("content").alias("said")), "atom_id").drop("atom_id")
     d = diaries.select("diary_id", "date", F.col("content").alias("diary"))
     rows = best.join(said, ["query_id", "diary_id"]).join(d, "diary_id").join(queries.select("query_id", "query"), "query_id")
-    words = F.array_union(text.keywords(F.col("query")), text.keywords(F.col("said")))
+    words = F.array_union(text.keywords(F.col("query")), text.keywords(F.col("said"), said_keywords))
     return rows.select("query_id", "diary_id", "pos", "date", best_segment(F.col("diary"), words).alias("snippet")).filter(
         F.col("snippet").isNotNull())

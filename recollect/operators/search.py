@@ -17,7 +17,8 @@ from recollect.session import broadcast_if_small, cut_lineage
 
 # BM25 constants of the full-text index.
 K1, B = 1.2, 0.75
-_VECTOR_BLOCK = 2048
+# Queries of a block, items of a slice: what one task multiplies at a time.
+_VECTOR_BLOCK, _VECTOR_SLICE = 2048, 16384
 
 
 # ---------------------------------------------------------------- index side
@@ -59,9 +60,9 @@ def term_weight(tf: Column, doc_len: Column, avg_len: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
 
 
-def query_terms(queries: DataFrame, content: str = "query", limit: int = 15,
+def query_terms(queries: DataFrame, content: str = "query", limit: int | None = None,
                 tokenizer: text.Tokenizer = text.words) -> DataFrame:
-    """``(query_id, pos, token)`` keyword rows."""
+    """``(query_id, pos, token)`` keyword rows: all keywords, or the first ``limit`` of a query."""
     return queries.select(
         "query_id", F.posexplode(text.keywords(F.col(content), limit, tokenizer)).alias("pos", "token")
     )
@@ -95,8 +96,10 @@ def bm25_scores(docs: DataFrame, terms: DataFrame, doc_id: str, content: str,
 
 def bm25_atoms(atoms: DataFrame, terms: DataFrame, k: int, mode: str = "reference",
                imp_weight: float = 0.6, rank_weight: float = 0.4, query_users: DataFrame | None = None,
-               **index) -> DataFrame:
-    """Top ``k`` active atoms per query: best ``3k`` by BM25, then importance blended with rank.
+               pool: int | None = None, **index) -> DataFrame:
+    """Top ``k`` active atoms per query, importance blended with rank.
+
+    Every match is considered; the modelled system looks at the best ``pool=3 * k`` by BM25 only.
 
     ``mode='reference'`` keeps the observable order of the modelled system, whose
     rank part is always zero (importance, then BM25); ``'normalized'`` divides by
@@ -107,8 +110,12 @@ def bm25_atoms(atoms: DataFrame, terms: DataFrame, k: int, mode: str = "referenc
     hits = hits.join(live, "atom_id")
     if query_users is not None:
         hits = hits.join(query_users, ["query_id", "user_id"], "left_semi")
-    cand = top_n(hits, ["query_id"], [F.desc("bm25"), F.asc("atom_id")], 3 * k, "bm25_rank")
-    return _blend(cand, k, "atom_id", F.col("importance"), mode, imp_weight, rank_weight)
+    return _blend(_pool(hits, "atom_id", pool), k, "atom_id", F.col("importance"), mode, imp_weight, rank_weight)
+
+
+def _pool(hits: DataFrame, doc_id: str, pool: int | None) -> DataFrame:
+    """All hits, or the best ``pool`` of a query by BM25."""
+    return hits if pool is None else top_n(hits, ["query_id"], [F.desc("bm25"), F.asc(doc_id)], pool, "_rank").drop("_rank")
 
 
 def _blend(cand: DataFrame, k: int, doc_id: str, importance: Column, mode: str, wi: float, wr: float) -> DataFrame:
@@ -119,7 +126,7 @@ def _blend(cand: DataFrame, k: int, doc_id: str, importance: Column, mode: str,
         cand = cand.join(best, "query_id")
         score = importance * wi + F.col("bm25") / F.col("_best") * wr
     cand = cand.withColumn("score", F.round(score, 6))
-    out = top_n(cand, ["query_id"], [F.desc("score"), F.asc("bm25_rank")], k)
+    out = top_n(cand, ["query_id"], [F.desc("score"), F.desc("bm25"), F.asc(doc_id)], k)
     return out.select("query_id", doc_id, "rank", "score", "bm25")
 
 
@@ -134,8 +141,9 @@ def bm25_ranked(atoms: DataFrame, terms: DataFrame, limit: int | None = None, **
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str = "reference") -> DataFrame:
-    """Diaries containing, for every query term, a token that starts with it.
+def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str = "reference",
+                 pool: int | None = None) -> DataFrame:
+    """Diaries containing, for every query term, a token that starts with it; ``pool`` as in :func:`bm25_atoms`.
 
     Vocabulary tokens are expanded to their prefixes (no longer than the longest
     term) and equi-joined to the terms, so no term meets the whole vocabulary.
@@ -168,9 +176,8 @@ def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str =
         .filter(F.col("_n") == F.col("n_terms"))
     )
     hits = hits.join(diaries.select("diary_id", "importance"), "diary_id")
-    cand = top_n(hits, ["query_id"], [F.desc("bm25"), F.asc("diary_id")], 3 * k, "bm25_rank")
     imp = F.when(F.coalesce(F.col("importance"), F.lit(0.0)) == 0, 0.5).otherwise(F.col("importance"))
-    return _blend(cand, k, "diary_id", imp, mode, 0.6, 0.4)
+    return _blend(_pool(hits, "diary_id", pool), k, "diary_id", imp, mode, 0.6, 0.4)
 
 
 # ---------------------------------------------------------------- containment
@@ -199,29 +206,39 @@ def containing(rows: DataFrame, row_id: str, content: Column, needles: DataFrame
     return said.join(broadcast_if_small(matched), "_run").select(row_id, needle).distinct()
 
 
-def keyword_route(atoms: DataFrame, terms: DataFrame, k: int, query_users: DataFrame | None = None, **index) -> DataFrame:
-    """ASCII keywords through BM25, other keywords by containment (+0.3 a hit), blended with importance."""
-    terms = terms.filter(F.length("token") >= 2)
+def keyword_route(atoms: DataFrame, terms: DataFrame, k: int, query_users: DataFrame | None = None, mode: str = "complete",
+                  index: DataFrame | None = None, **stats) -> DataFrame:
+    """ASCII keywords by the text index, other keywords by containment (+0.3 a hit), blended with importance.
+
+    Every match is scored. ``mode='reference'`` cuts as the modelled system does: the
+    ``k`` most important of the best ``3k`` by BM25, and ``k`` rows of any other keyword.
+    """
+    terms = terms.filter(F.length("token") >= 2).select("query_id", "token").distinct()
     ascii_terms = terms.filter(text.is_ascii_word(F.col("token")))
     other = terms.filter(~text.is_ascii_word(F.col("token")))
-    fts = bm25_atoms(atoms, ascii_terms, k, query_users=query_users, **index).select("query_id", "atom_id", F.lit(None).cast("double").alias("hit"))
     live = atoms.filter(F.col("status") == "active")
-    hits = containing(live, "atom_id", F.col("content"), other)
-    scored = hits.join(live.select("atom_id", "user_id", "importance"), "atom_id")
-    if query_users is None:
-        # the cut does not depend on the query: take it once per keyword
-        best = top_n(scored, ["token"], [F.desc("importance"), F.asc("atom_id")], k)
-        like = best.join(other.select("query_id", "token").distinct(), "token")
+    owned = live.select("atom_id", "user_id", "importance")
+    like = containing(live, "atom_id", F.col("content"), other)
+    if mode == "reference":
+        fts = bm25_atoms(atoms, ascii_terms, k, query_users=query_users, pool=3 * k, index=index, **stats)
+        like = like.join(owned, "atom_id")
+        if query_users is None:
+            # the cut does not depend on the query: take it once per keyword
+            like = top_n(like, ["token"], [F.desc("importance"), F.asc("atom_id")], k).join(other, "token")
+        else:
+            each = like.join(other, "token").join(query_users, ["query_id", "user_id"], "left_semi")
+            like = top_n(each, ["query_id", "token", "user_id"], [F.desc("importance"), F.asc("atom_id")], k)
     else:
-        each = scored.join(other.select("query_id", "token").distinct(), "token").join(
-            query_users, ["query_id", "user_id"], "left_semi")
-        like = top_n(each, ["query_id", "token", "user_id"], [F.desc("importance"), F.asc("atom_id")], k)
-    both = fts.unionByName(like.select("query_id", "atom_id", F.lit(0.3).alias("hit")))
-    both = both.join(live.select("atom_id", "importance"), "atom_id")
-    agg = both.groupBy("query_id", "atom_id").agg(
-        F.first("importance").alias("importance"),
-        F.sum(F.coalesce(F.col("hit"), F.col("importance"))).alias("hits"))
-    agg = agg.withColumn("score", F.round(F.col("importance") * 0.7 + F.least("hits", F.lit(1.0)) * 0.3, 6))
+        post = postings(atoms, "atom_id", "content", vocabulary=ascii_terms) if index is None else index
+        fts = post.select("atom_id", "token").join(broadcast_if_small(ascii_terms), "token").select("query_id", "atom_id").distinct()
+        like = like.join(other, "token")
+    both = fts.select("query_id", "atom_id", F.lit(True).alias("_fts"), F.lit(0).alias("_like")).unionByName(
+        like.select("query_id", "atom_id", F.lit(False).alias("_fts"), F.lit(1).alias("_like")))
+    agg = both.groupBy("query_id", "atom_id").agg(F.bool_or("_fts").alias("_fts"), F.sum("_like").alias("_like")).join(owned, "atom_id")
+    if query_users is not None:
+        agg = agg.join(query_users, ["query_id", "user_id"], "left_semi")
+    hits = F.when(F.col("_fts"), F.col("importance")).otherwise(0.0) + 0.3 * F.col("_like")
+    agg = agg.withColumn("score", F.round(F.col("importance") * 0.7 + F.least(hits, F.lit(1.0)) * 0.3, 6))
     return top_n(agg, ["query_id"], [F.desc("score"), F.desc("importance"), F.asc("atom_id")], k).select(
         "query_id", "atom_id", "rank", "score")
 
@@ -233,73 +250,63 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str, vec:
                 eps: float = 1e-10, floor: float | None = None) -> DataFrame:
     """Exact cosine top ``k`` of ``items`` per query, ``(query_id, item_id, rank, score)``.
 
-    Queries travel to the tasks in blocks of fixed size; each Arrow batch of items
-    is one matrix product that emits its ``k`` best per query, so the shuffle
-    carries ``k`` rows per query and batch. Items of another dimension or with a
-    vanishing norm are skipped.
+    One block of queries is sent to the tasks, and items stay where they are. More
+    queries meet the items in groups of (slice of the items, block of the queries) of
+    bounded size. Either way one matrix product emits the ``k`` best of each query, so
+    the shuffle behind it carries ``k`` rows per query and slice. Items of another
+    dimension or with a vanishing norm are skipped.
     """
-    spark = items.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // _VECTOR_BLOCK))
-    keyed = queries.select("query_id", F.col(vec).cast("array<double>").alias("v"),
-                           F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
-    id_type = dict(items.dtypes)[item_id]
-    q_type = dict(queries.dtypes)["query_id"]
-    src = items.select(item_id, F.col(vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    parts = []
-    for b in range(blocks):
-        rows = keyed.filter(F.col("_b") == b).select("query_id", "v").collect()  # one bounded block
-        if not rows:
-            continue
-        held = spark.sparkContext.broadcast([(r[0], np.asarray(r[1], dtype=float)) for r in rows if r[1] is not None])
-        parts.append(src.mapInPandas(_best_of_batch(held, item_id, k, eps, floor),
-                                     f"query_id {q_type}, {item_id} {id_type}, score double"))
-    if not parts:
-        return src.select(F.lit(None).cast(q_type).alias("query_id"), item_id, F.lit(0).alias("rank"),
-                          F.lit(0.0).alias("score")).filter("false")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.withColumn("score", F.round("score", 6))
+    q_type, id_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)[item_id]
+    asked = queries.select("query_id", F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    src = items.select(item_id, F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    schema = f"query_id {q_type}, {item_id} {id_type}, score double"
+    blocks = max(1, -(-asked.count() // _VECTOR_BLOCK))
+    if blocks == 1:
+        held = asked.toPandas()  # at most one block
+
+        def batches_of(batches):
+            for pdf in batches:
+                yield _best(pdf, held, item_id, k, eps, floor)
+
+        found = src.mapInPandas(batches_of, schema)
+    else:
+        slices = max(1, -(-src.count() // _VECTOR_SLICE))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = src.select("*", F.pmod(F.xxhash64(item_id), F.lit(slices)).cast("int").alias("_s"), every(blocks).alias("_b"))
+        right = asked.select("*", every(slices).alias("_s"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"))
+        found = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(
+            lambda x, q: _best(x, q, item_id, k, eps, floor), schema)
     return top_n(found, ["query_id"], [F.desc("score"), F.asc(item_id)], k).select("query_id", item_id, "rank", "score")
 
 
-def _best_of_batch(held, item_id, k, eps, floor):
-    def run(batches):
-        by_dim: dict[int, tuple[list, np.ndarray]] = {}
-        for qid, v in held.value:
-            by_dim.setdefault(len(v), ([], []))
-            by_dim[len(v)][0].append(qid)
-            by_dim[len(v)][1].append(v)
-        ready = {}
-        for dim, (ids, vs) in by_dim.items():
-            m = np.vstack(vs)
-            nq = np.linalg.norm(m, axis=1)
-            keep = nq >= eps
-            ready[dim] = (np.array(ids, dtype=object)[keep], m[keep] / nq[keep, None])
-        for pdf in batches:
-            dims = pdf["v"].map(len).to_numpy()
-            for dim, (qids, qm) in ready.items():
-                sub = pdf[dims == dim]
-                if not len(sub) or not len(qids):
-                    continue
-                m = np.vstack(sub["v"].to_numpy())
-                ni = np.linalg.norm(m, axis=1)
-                ok = ni >= eps
-                if not ok.any():
-                    continue
-                ids = sub[item_id].to_numpy()[ok]
-                sims = qm @ (m[ok] / ni[ok, None]).T
-                if floor is not None:
-                    sims = np.maximum(sims, floor)
-                # ties at six places are settled by id, so cut on the rounded score
-                rounded = np.round(sims, 6)
-                id_order = np.argsort(ids, kind="stable")
-                for i, qid in enumerate(qids):
-                    r = rounded[i][id_order]
-                    pick = np.argsort(-r, kind="stable")[:k]
-                    yield pd.DataFrame({"query_id": [qid] * len(pick), item_id: ids[id_order][pick], "score": r[pick]})
-    return run
+def _best(items: pd.DataFrame, asked: pd.DataFrame, item_id: str, k: int, eps: float, floor: float | None) -> pd.DataFrame:
+    """The ``k`` best items of each query by cosine rounded to six places, ties to the smaller id."""
+    out = [pd.DataFrame({"query_id": [], item_id: [], "score": []})]
+    dims, asked_dims = items["v"].map(len).to_numpy(), asked["v"].map(len).to_numpy()
+    for dim in np.intersect1d(dims, asked_dims):
+        ids, x = _units(items[dims == dim], item_id, eps)
+        qids, q = _units(asked[asked_dims == dim], "query_id", eps)
+        if not len(ids):
+            continue
+        order = np.unique(ids, return_inverse=True)[1]
+        m = min(k, len(ids))
+        for a in range(0, len(qids), 256):
+            sims = q[a : a + 256] @ x.T
+            score = np.round(sims if floor is None else np.maximum(sims, floor), 6)
+            edge = np.partition(score, len(ids) - m, axis=1)[:, len(ids) - m, None]
+            r, c = np.nonzero(score >= edge)
+            by = np.lexsort((order[c], -score[r, c], r))
+            r, c = r[by], c[by]
+            ok = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"query_id": qids[a + r[ok]], item_id: ids[c[ok]], "score": score[r[ok], c[ok]]}))
+    return pd.concat(out[1:] or out)
+
+
+def _units(rows: pd.DataFrame, key: str, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    m = np.vstack(rows["v"].to_numpy()).astype(float)
+    norm = np.linalg.norm(m, axis=1)
+    ok = norm >= eps
+    return rows[key].to_numpy()[ok], m[ok] / norm[ok, None]
 
 
 def vector_atoms(atoms: DataFrame, queries: DataFrame, k: int, user_id: str | None = None,
@@ -315,65 +322,101 @@ def vector_atoms(atoms: DataFrame, queries: DataFrame, k: int, user_id: str | No
     return vector_topk(live, queries, k, "atom_id")
 
 
-def vector_nodes(nodes: DataFrame, queries: DataFrame, k: int, newest: int = 500, model: str | None = None) -> DataFrame:
-    """Vector search over the newest entity, topic and user nodes; negative similarities count as 0."""
+def vector_nodes(nodes: DataFrame, queries: DataFrame, k: int, newest: int | None = None, model: str | None = None) -> DataFrame:
+    """Vector search over entity, topic and user nodes (all, or the ``newest``); negative similarities count as 0."""
     live = nodes.filter(F.col("type").isin("entity", "topic", "user") & F.col("embedding").isNotNull())
     if model is not None:
         live = live.filter(F.col("embedding_model") == model)
-    live = live.orderBy(F.desc("updated_at"), F.asc("node_id")).limit(newest)
+    if newest is not None:
+        live = live.orderBy(F.desc("updated_at"), F.asc("node_id")).limit(newest)
     return vector_topk(live, queries, k, "node_id", eps=1e-9, floor=0.0)
 
 
 # ---------------------------------------------------------------- graph routes
 
 
-def match_nodes(nodes: DataFrame, terms: DataFrame, per_keyword: int = 10) -> DataFrame:
-    """``(query_id, node_id)``: nodes whose name or id contains a keyword, ten per keyword."""
+def nodes_of_keywords(nodes: DataFrame, terms: DataFrame, per_keyword: int | None = None) -> DataFrame:
+    """``(token, node_id)``: nodes whose name or id contains a keyword, all or the first ``per_keyword`` by id."""
     kinds = nodes.filter(F.col("type").isin("entity", "user", "topic", "emotion"))
     # one text holding both fields; the separator cannot occur inside a keyword
     joined = F.concat_ws("\n", F.col("name"), F.col("node_id"))
     found = containing(kinds, "node_id", joined, terms.filter(F.length("token") >= 2), names=True)
-    first = top_n(found, ["token"], [F.asc("node_id")], per_keyword)
-    return first.join(terms.select("query_id", "token").distinct(), "token").select("query_id", "node_id").distinct()
+    return found if per_keyword is None else top_n(found, ["token"], [F.asc("node_id")], per_keyword).select("node_id", "token")
+
+
+def match_nodes(nodes: DataFrame, terms: DataFrame, per_keyword: int | None = None) -> DataFrame:
+    """``(query_id, node_id)``: nodes whose name or id contains a keyword of the query."""
+    found = nodes_of_keywords(nodes, terms, per_keyword)
+    return found.join(terms.select("query_id", "token").distinct(), "token").select("query_id", "node_id").distinct()
 
 
-def linked_diaries(mentions: DataFrame, heads: DataFrame, keys: list[str], newest: int = 30) -> DataFrame:
-    """Newest distinct diaries mentioned by the head nodes, per key set."""
+def linked_diaries(mentions: DataFrame, heads: DataFrame, keys: list[str], newest: int | None = None) -> DataFrame:
+    """Distinct diaries mentioned by the head nodes per key set, all or the ``newest``."""
     told = mentions.filter(F.col("diary_id") > 0).select(F.col("from_node").alias("node_id"), "diary_id")
     told = told.join(heads.select("node_id").distinct(), "node_id", "left_semi").distinct()
+    if newest is None:
+        return heads.join(told, "node_id").select(*keys, "diary_id").distinct()
     # the newest of a key set lie among the newest of each of its nodes
     told = top_n(told, ["node_id"], [F.desc("diary_id")], newest, "_newest").drop("_newest")
     hit = heads.join(told, "node_id")
     return top_n(hit.select(*keys, "diary_id").distinct(), keys, [F.desc("diary_id")], newest, "diary_rank")
 
 
-def atoms_of_diaries(atoms: DataFrame, links: DataFrame, diaries: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Active atoms linked to the diaries, best link per atom, by link importance."""
+def atoms_of_diaries(atoms: DataFrame, links: DataFrame, diaries: DataFrame, keys: list[str], k: int,
+                     by: str = "link_importance") -> DataFrame:
+    """The ``k`` best active atoms linked to the diaries of a key set, best link per atom, by link or atom importance."""
     live = atoms.filter(F.col("status") == "active").select("atom_id", F.col("importance").alias("atom_importance"))
     hit = diaries.select(*keys, "diary_id").join(links.select("atom_id", "diary_id", "importance"), "diary_id").join(live, "atom_id")
     best = hit.groupBy(*keys, "atom_id").agg(F.max("importance").alias("link_importance"), F.first("atom_importance").alias("atom_importance"))
-    return top_n(best, keys, [F.desc("link_importance"), F.asc("atom_id")], k)
+    return top_n(best, keys, [F.desc(by), F.asc("atom_id")], k)
 
 
-def graph_keyword_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    heads = match_nodes(nodes, terms)
-    diaries = linked_diaries(mentions, heads, ["query_id"])
-    out = atoms_of_diaries(atoms, links, diaries, ["query_id"], k)
-    return out.select("query_id", "atom_id", "rank", F.round("link_importance", 6).alias("score"))
+def graph_keyword_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions: DataFrame, terms: DataFrame, k: int,
+                        mode: str = "complete") -> DataFrame:
+    """Atoms linked to diaries that mention the nodes a query names, by their best link.
+
+    All nodes and diaries count. An atom among a query's ``k`` best is among the ``k``
+    best of the node that gives its best link, so each node, then each keyword, is cut
+    to ``k`` rows before queries are joined. ``mode='reference'`` takes ten nodes a
+    keyword and the newest 30 diaries of a query.
+    """
+    if mode == "reference":
+        diaries = linked_diaries(mentions, match_nodes(nodes, terms, 10), ["query_id"], 30)
+        out = atoms_of_diaries(atoms, links, diaries, ["query_id"], k)
+        return out.select("query_id", "atom_id", "rank", F.round("link_importance", 6).alias("score"))
+    order = [F.desc("score"), F.asc("atom_id")]
+    named = cut_lineage(nodes_of_keywords(nodes, terms))
+    heads = named.select("node_id").distinct()
+    per_node = atoms_of_diaries(atoms, links, linked_diaries(mentions, heads, ["node_id"]), ["node_id"], k)
+    best = F.max("score").alias("score")
+    reached = named.join(per_node.select("node_id", "atom_id", F.round("link_importance", 6).alias("score")), "node_id")
+    per_token = top_n(reached.groupBy("token", "atom_id").agg(best), ["token"], order, k).drop("rank")
+    asked = terms.select("query_id", "token").distinct()
+    return top_n(per_token.join(asked, "token").groupBy("query_id", "atom_id").agg(best), ["query_id"], order, k).select(
+        "query_id", "atom_id", "rank", "score")
 
 
 def graph_vector_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions: DataFrame, queries: DataFrame,
-                       k: int, per_node: int = 3) -> DataFrame:
-    """Nearest nodes, their diaries, three atoms each; similarity times importance, best per atom."""
-    near = vector_nodes(nodes, queries, 3 * k).select("query_id", "node_id", F.col("score").alias("sim"))
+                       k: int, nearest: int | None = None, mode: str = "complete") -> DataFrame:
+    """The ``nearest`` nodes (``3k``), their diaries and atoms; similarity times importance, best per atom.
+
+    All atoms of a node count; its ``k`` most important ones hold its share of any
+    query's best ``k``. Nodes of similarity 0 are not near. ``mode='reference'`` searches
+    the newest 500 nodes and takes three atoms from the newest 30 diaries of each.
+    """
+    cut = mode == "reference"
+    near = vector_nodes(nodes, queries, nearest or 3 * k, 500 if cut else None).select("query_id", "node_id", F.col("score").alias("sim"))
+    near = near if cut else near.filter(F.col("sim") > 0)
+    near = cut_lineage(near)
     # diaries and atoms of a node do not depend on the query: do each node once
     heads = near.select("node_id").distinct()
-    diaries = linked_diaries(mentions, heads, ["node_id"])
-    per = atoms_of_diaries(atoms, links, diaries, ["node_id"], per_node).select("node_id", "atom_id", "atom_importance")
-    # a similarity of 0 orders a node's atoms by id alone
-    eff = near.join(per, "node_id").groupBy("query_id", "atom_id").agg(
-        F.round(F.max(F.col("sim") * F.col("atom_importance")), 6).alias("score"))
-    return top_n(eff, ["query_id"], [F.desc("score"), F.asc("atom_id")], k).select("query_id", "atom_id", "rank", "score")
+    diaries = linked_diaries(mentions, heads, ["node_id"], 30 if cut else None)
+    by = "link_importance" if cut else "atom_importance"
+    per = atoms_of_diaries(atoms, links, diaries, ["node_id"], 3 if cut else k, by).select("node_id", "atom_id", "atom_importance")
+    eff = near.join(per, "node_id").groupBy("query_id", "atom_id").agg(F.max(F.col("sim") * F.col("atom_importance")).alias("score"))
+    eff = eff.withColumn("score", F.round("score", 6)) if cut else eff
+    return top_n(eff, ["query_id"], [F.desc("score"), F.asc("atom_id")], k).select(
+        "query_id", "atom_id", "rank", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- fusion

@@ -76,7 +76,9 @@ def test_keywords(spark):
     assert k("测试框架") == ["测试", "试框", "框架"]
     assert k("a b") == ["a", "b"]
     assert k("什么 x") == ["x"]
-    assert len(k(" ".join(f"w{i}" for i in range(40)))) == 15
+    many = " ".join(f"w{i}" for i in range(40))
+    assert len(k(many)) == 40
+    assert len(one(spark, many, text.keywords(F.col("c"), 15))[0]) == 15
 
 
 def test_tokens(spark):
