@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import check
 from checks.views import oracle, tables
 from recollect.operators import search
 from recollect.plans import recall as recall_plan
+from recollect.session import shared_folder
 
 _RUN = "([\\p{L}\\p{N}_]+)"
 _STOP = "'" + "','".join(search.text.STOP_WORDS) + "'"
@@ -63,6 +66,22 @@ def _(spark, d):
     return search.bm25_atoms(a.drop("embedding"), search.query_terms(q), 10)
 
 
+def kept_index(spark, atoms):
+    """The atoms' index, written in two batches and read back."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4()}"
+    for batch in (0, 1):
+        search.write_index(atoms.filter(F.col("atom_id") % 2 == batch), folder, batch)
+    return search.read_index(spark, folder)
+
+
+@check("bm25_indexed", oracle("SELECT query_id, atom_id, rank, score, bm25 FROM picked", *RQ, **INDEX,
+                              hits=bm25_cte("true"), picked=bm25_top("hits", 10)))
+def _(spark, d):
+    a, q = tables(spark, d, "atoms", "recall_queries")
+    a = a.drop("embedding")
+    return search.bm25_atoms(a, search.query_terms(q), 10, **kept_index(spark, a))
+
+
 @check("bm25_pool", oracle("SELECT query_id, atom_id, rank, score, bm25 FROM picked", *RQ, **INDEX,
                            hits=bm25_cte("true"), picked=bm25_top("hits", 10, 30)))
 def _(spark, d):
@@ -273,6 +292,12 @@ def recall_inputs(spark, d):
                 query_vectors=q.select("query_id", "embedding"))
 
 
+@check("recall_indexed", oracle("SELECT query_id, atom_id, rank, score FROM ranked", *GS, **recall_ctes(5, 50)))
+def _(spark, d):
+    i = recall_inputs(spark, d)
+    return recall_plan.recall(**i, k=5, **kept_index(spark, i["atoms"]))
+
+
 @check("recall_topk", oracle("SELECT query_id, atom_id, rank, score FROM ranked", *GS, **recall_ctes(5, 50)))
 def _(spark, d):
     return recall_plan.recall(**recall_inputs(spark, d), k=5)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text
@@ -51,6 +51,22 @@ def corpus_stats(docs: DataFrame, content: str, tokenizer: text.Tokenizer = text
     )
 
 
+def write_index(atoms: DataFrame, folder: str, batch: int = 0) -> None:
+    """Keeps the postings and totals of a batch of rows under ``folder``, sorted by token; writing a batch again replaces it."""
+    post = postings(atoms, "atom_id", "content").repartition("token").sortWithinPartitions("token")
+    post.write.mode("overwrite").parquet(f"{folder}/postings/batch={batch}")
+    lengths = F.size(text.index_tokens(F.col("content")))
+    atoms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(lengths), F.lit(0)).alias("len")).write.mode("overwrite").parquet(
+        f"{folder}/totals/batch={batch}")
+
+
+def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """``index`` and ``stats`` of all batches kept under ``folder``, as the text routes and ``recall`` take them."""
+    totals = spark.read.parquet(f"{folder}/totals")
+    return {"index": spark.read.parquet(f"{folder}/postings").drop("batch"),
+            "stats": totals.agg(F.sum("n").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avg_len"))}
+
+
 def idf(df_col: Column, n_docs: Column) -> Column:
     raw = F.log((n_docs - df_col + 0.5) / (df_col + 0.5))
     return F.greatest(raw, F.lit(1e-6))

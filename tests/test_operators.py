@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators import capture, context, dedup, graph, lifecycle, messages, provenance, search, similarity, skew, social, users
@@ -374,3 +375,31 @@ def test_context_windows(spark):
     assert rows(messages.context_since(m, w.filter("false"), 3), "msg_id") == [(6,), (7,), (8,)]
     assert messages.recent_context(m, 2, NOW).first()["context"] == "[00:00] Ann: m7\n[00:00] Bot: 我: m8"
     assert rows(messages.unprocessed(m, w), "messages", "rounds") == [(5, 2)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_in_batch(spark, seed):
+    rng = random.Random(seed)
+    texts = [(i, " ".join(rng.sample("aa bb cc dd ee ff".split(), rng.randint(2, 5)))) for i in range(40)] + [(40, ""), (41, "")]
+    kept, want = [], {}
+    for i, t in texts:
+        a = set(t.split())
+        hit = next((j for j, b in kept if a and len(a & b) / len(a | b) >= .6), None)
+        if hit is None:
+            kept.append((i, a))
+        else:
+            want[i] = hit
+    got = dedup.repeats_in_batch(spark.createDataFrame(texts, "new_id bigint, content string"))
+    assert {r["new_id"]: r["first_id"] for r in got.collect()} == want
+
+
+def test_vector_blocks_equal_one_block(spark, monkeypatch):
+    rng = random.Random(1)
+    make = lambda n, d: [(i, [float(rng.randint(-2, 2)) for _ in range(d + i % 2)]) for i in range(n)]
+    items = spark.createDataFrame(make(60, 3) + [(60, None)], "atom_id bigint, embedding array<double>")
+    asked = spark.createDataFrame(make(20, 3) + [(20, None)], "query_id bigint, embedding array<double>")
+    run = lambda: sorted(tuple(r) for r in search.vector_topk(items, asked, 4, "atom_id", floor=0.0).collect())
+    one = run()
+    monkeypatch.setattr(search, "_VECTOR_BLOCK", 3)
+    monkeypatch.setattr(search, "_VECTOR_SLICE", 7)
+    assert run() == one and one
