@@ -88,6 +88,16 @@ def test_idle_stream_fires_after_silence(spark, tmp_path):
     assert ("s0", "idle", 3, 2) in got
 
 
+def test_silence_inside_the_data_parts_units(spark, tmp_path):
+    src = str(tmp_path / "in")
+    at = [0, 1, 2, 300, 301, 302, 900]
+    rows = [(i, "s0", "u0", (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime()) for i, m in enumerate(at)]
+    spark.createDataFrame(rows, MSG).coalesce(1).write.parquet(src)
+    _run(triggers.consolidation_stream(triggers.message_stream(spark, src, MSG)), "silence", tmp_path)
+    got = sorted((r["first_msg_id"], r["last_msg_id"], r["reason"], r["n"]) for r in spark.table("silence").collect())
+    assert got == [(0, 2, "idle", 3), (3, 5, "idle", 3)]
+
+
 def test_rate_limit_stream(spark, tmp_path):
     rows, df = log(spark, n=60)
     src = str(tmp_path / "in")
