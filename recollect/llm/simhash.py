@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,11 +69,24 @@ def _remixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(text: str | None, ngram: int = 3, words: int = 1) -> list[int]:
-    """``words`` 64-bit words (signed); a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_set(text: str | None, ngram: int) -> np.ndarray:
+    """The different shingle hashes of a whole text, sorted."""
+    parts = list(shingle_hashes(text or "", ngram))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def signature(text: str | None, ngram: int = 3, words: int = 1, distinct: bool = False) -> list[int]:
+    """``words`` 64-bit words (signed); a bit is 1 if it is set in over half of the shingles' hashes.
+
+    Repeated shingles count each time, or once with ``distinct``.
+    """
+    return _majority([shingle_set(text, ngram)] if distinct else shingle_hashes(text or "", ngram), words)
+
+
+def _majority(parts: Iterable[np.ndarray], words: int) -> list[int]:
     total = 0
     ones = np.zeros((words, 64), np.int64)
-    for hashes in shingle_hashes(text or "", ngram):
+    for hashes in parts:
         for a in range(0, len(hashes), GRAMS):
             part = hashes[a : a + GRAMS]
             total += len(part)
@@ -84,13 +97,15 @@ def signature(text: str | None, ngram: int = 3, words: int = 1) -> list[int]:
     return packed.view(np.int64).ravel().tolist()
 
 
-def signatures(docs: DataFrame, ngram: int = 3, words: int = 1, text: str = "text", name: str = "signature") -> DataFrame:
+def signatures(
+    docs: DataFrame, ngram: int = 3, words: int = 1, text: str = "text", name: str = "signature", distinct: bool = False
+) -> DataFrame:
     """Adds the array ``name`` of ``words`` longs. Null texts and texts without words: zeros."""
 
     @F.pandas_udf("array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([signature(t, ngram, words) for t in b])
+            yield pd.Series([signature(t, ngram, words, distinct) for t in b])
 
     return bounded(docs).withColumn(name, run(F.col(text)))
 
@@ -326,7 +341,7 @@ TABLES, TABLE_BITS, TABLE_BUDGET, CHECK_WORDS, CHECK_BUDGET = 10, 32, 3, 2, 25
 def _near(docs: DataFrame, ngram: int, key: str, text: str) -> DataFrame:
     """(_key, _th, _root, component_id) for every row; _th is a hash of the text."""
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    signed = signatures(slim, ngram, TABLES * TABLE_BITS // 64, "_text", "_sig")
+    signed = signatures(slim, ngram, TABLES * TABLE_BITS // 64, "_text", "_sig", distinct=True)
     signed = cut_lineage(signed.select("_key", F.xxhash64("_text").alias("_th"), "_sig", F.xxhash64("_sig").alias("_node")))
     nodes = cut_lineage(signed.groupBy("_node").agg(F.min("_key").alias("_least"), F.first("_sig").alias("_sig")))
 

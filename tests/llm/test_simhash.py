@@ -158,3 +158,23 @@ def test_drop_of_odd_rows(spark):
     assert {2, 3, 4} & {r["doc_id"] for r in kept} == {2}  # all without words: one group
     assert any(r["doc_id"] is None for r in kept)
     assert simhash.drop_near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_a_repeated_phrase_counts_once(spark):
+    rng = random.Random(21)
+    phrase = "one phrase said over again"
+    apart = [" ".join(f"{w} {phrase}" if k % 6 == 0 and k < 180 else w for k, w in enumerate(words(rng, 200))) for _ in range(2)]
+    base = " ".join(words(rng, 200))
+    texts = [*apart, base, base + (" " + phrase) * 30]
+    assert jaccard(*apart) < 0.05 and jaccard(*texts[2:]) > 0.9
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert dict(simhash.near_duplicates(docs).collect()) == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+def test_distinct_shingles_across_segments(monkeypatch):
+    rng = random.Random(22)
+    text = " ".join(words(rng, 60) * 5)
+    want = simhash.signature(text, 5, 2, distinct=True)
+    assert want != simhash.signature(text, 5, 2)
+    monkeypatch.setattr(simhash, "SEGMENT", 37)
+    assert simhash.signature(text, 5, 2, distinct=True) == want
