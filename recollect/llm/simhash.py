@@ -250,9 +250,14 @@ def _tasks(blocks: list[tuple[int, int, int, int]], budget: int) -> list[tuple[i
     return out
 
 
-def trie_links(codes: DataFrame, budget: int = 3, width: int = 64, check_budget: int | None = None) -> DataFrame:
+def trie_links(
+    codes: DataFrame, budget: int = 3, width: int = 64, check_budget: int | None = None, least: float | None = None
+) -> DataFrame:
     """Links (a, b) that join all ``node`` whose codes differ in at most ``budget`` bits, as a spanning forest per task.
 
+    With ``least`` not a forest but every pair comes, a < b, that has two different ``label`` (long) and whose
+    ``size`` (long) allow a Jaccard similarity of ``least``; a pair found in several tables comes once.
+
     ``codes``: table int, code long (its top ``width`` bits count), node long and, if
     ``check_budget`` is given, check array<long>: a pair is a link only if these differ in
     at most so many bits too. Pairs are found within one table, exactly and without a cap.
@@ -274,7 +279,7 @@ def trie_links(codes: DataFrame, budget: int = 3, width: int = 64, check_budget:
     cells = spark.createDataFrame(where, "table int, _cell int, _first int, _slices int")
     tasks = spark.createDataFrame(_tasks(blocks, budget), "_block int, _task int, _own boolean, _self boolean")
     block = (F.col("_first") + F.pmod(F.xxhash64("node"), F.col("_slices"))).cast("int")
-    checks = ["check"] if check_budget is not None else []
+    checks = (["check"] if check_budget is not None else []) + (["label", "size"] if least is not None else [])
     dealt = (
         codes.join(F.broadcast(cells), ["table", "_cell"])  # at most 4,096 rows a table
         .select(block.alias("_block"), "code", "node", *checks)
@@ -287,20 +292,32 @@ def trie_links(codes: DataFrame, budget: int = 3, width: int = 64, check_budget:
         own, code, node = rows["_own"].to_numpy(), rows["code"].to_numpy().view(np.uint64), rows["node"].to_numpy()
         check = np.stack(rows["check"].to_numpy()).view(np.uint64) if check_budget is not None else None
         mine, rest = np.flatnonzero(own), np.flatnonzero(~own)
+        label, size = (rows["label"].to_numpy(), rows["size"].to_numpy()) if least is not None else (None, None)
+        found: list[np.ndarray] = []
         forest = _Forest(len(rows))
         runs = [(mine, mine, True)] if rows["_self"].any() else []
         runs += [(mine, rest, False)] if len(rest) else []
         for left, right, same in runs:
             for i, j in _walk(code[left], code[right], same, budget, width):
                 u, v = left[i], right[j]
+                if least is not None:
+                    ok = (label[u] != label[v]) & (np.minimum(size[u], size[v]) >= least * np.maximum(size[u], size[v]))
+                    u, v = u[ok], v[ok]
                 if check is not None:
                     ok = np.bitwise_count(check[u] ^ check[v]).sum(axis=1) <= check_budget
                     u, v = u[ok], v[ok]
-                forest.add(u, v)
+                if least is None:
+                    forest.add(u, v)
+                elif len(u):
+                    found.append(np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])]))
+        if least is not None:
+            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            return pd.DataFrame({"a": a, "b": b})
         away = np.flatnonzero(forest.label != np.arange(len(rows)))
         return pd.DataFrame({"a": node[away], "b": node[forest.label[away]]})
 
-    return dealt.groupBy("_task").applyInPandas(walk, "a bigint, b bigint")
+    links = dealt.groupBy("_task").applyInPandas(walk, "a bigint, b bigint")
+    return links if least is None else links.distinct()
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -333,34 +350,99 @@ def fingerprint_components(docs: DataFrame, ngram: int = 3, budget: int = 3, key
 
 
 # Near-duplicates of 0.8 Jaccard on shingles have a cosine of 0.89, and so a SimHash bit
-# differs with probability 0.15. Ten tables of 32 bits with 3 errors find such a pair
-# with 0.96; of 128 bits at most 25 may differ.
-TABLES, TABLE_BITS, TABLE_BUDGET, CHECK_WORDS, CHECK_BUDGET = 10, 32, 3, 2, 25
+# differs with probability 0.15. Sixteen tables of 32 bits with 3 errors find such a pair
+# with 0.99; of all 512 bits 104 may differ, which 0.999 of such pairs keep. What is found
+# is a candidate only: LEAST is decided on the whole sets of shingles.
+TABLES, TABLE_BITS, TABLE_BUDGET, CHECK_BUDGET, LEAST = 16, 32, 3, 104, 0.8
+# Families of close copies are joined first, so that their pairs need not all be compared.
+CLOSE_TABLES, CLOSE_BUDGET = 4, 56
+# A node with more than this share of the pairs (and at least HUB pairs) gets its set by broadcast.
+HUB_SHARE, HUB = 1 / 100, 64
+
+
+def _marked(docs: DataFrame, ngram: int) -> DataFrame:
+    """(_key, _th, _node, _size, _sig): the node is a hash of the text's set of shingles, so texts of one set are one node."""
+
+    @F.pandas_udf("struct<node:bigint,size:bigint,sig:array<bigint>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b:
+                h = shingle_set(t, ngram)
+                node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0]
+                rows.append((node, len(h), _majority([h], TABLES * TABLE_BITS // 64)))
+            yield pd.DataFrame(rows, columns=["node", "size", "sig"])
+
+    # called non-deterministic so that taking its fields apart does not run it three times
+    made = bounded(docs).select("_key", F.xxhash64("_text").alias("_th"), run.asNondeterministic()("_text").alias("_m"))
+    return made.select("_key", "_th", F.col("_m.node").alias("_node"), F.col("_m.size").alias("_size"), F.col("_m.sig").alias("_sig"))
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str, total: int) -> DataFrame:
+    """``pairs`` with the set of the node ``side``; sets of hubs (fewer than 100) go by broadcast."""
+    hubs = pairs.groupBy(side).count().where(F.col("count") > max(total * HUB_SHARE, HUB)).select(F.col(side).alias("_node"))
+    hubs = cut_lineage(hubs)
+    found = sets.select("_node", F.col("_set").alias(f"_{side}"))
+    hot = found.join(F.broadcast(hubs), "_node").withColumnRenamed("_node", side)
+    cold = found.join(F.broadcast(hubs), "_node", "left_anti").withColumnRenamed("_node", side)
+    usual = pairs.join(F.broadcast(hubs.withColumnRenamed("_node", side)), side, "left_anti")
+    return pairs.join(F.broadcast(hot), side).unionByName(usual.join(cold, side))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of shingles have a Jaccard similarity of at least LEAST."""
+    total = pairs.count()
+    ends = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
+    need = broadcast_if_small(cut_lineage(nodes.join(ends, "_node").select("_node", "_th")))
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([shingle_set(t, ngram).view(np.int64) for t in b])
+
+    texts = docs.select(F.xxhash64("_text").alias("_th"), "_text").join(need, "_th").dropDuplicates(["_node"])
+    sets = cut_lineage(bounded(texts).select("_node", run("_text").alias("_set")))
+    both = _with_set(_with_set(pairs, sets, "a", total), sets, "b", total)
+    common = F.size(F.array_intersect("_a", "_b"))
+    return both.where(common >= LEAST * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
 def _near(docs: DataFrame, ngram: int, key: str, text: str) -> DataFrame:
     """(_key, _th, _root, component_id) for every row; _th is a hash of the text."""
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    signed = signatures(slim, ngram, TABLES * TABLE_BITS // 64, "_text", "_sig", distinct=True)
-    signed = cut_lineage(signed.select("_key", F.xxhash64("_text").alias("_th"), "_sig", F.xxhash64("_sig").alias("_node")))
-    nodes = cut_lineage(signed.groupBy("_node").agg(F.min("_key").alias("_least"), F.first("_sig").alias("_sig")))
+    signed = cut_lineage(_marked(slim, ngram))
+    nodes = cut_lineage(signed.groupBy("_node").agg(
+        F.min("_key").alias("_least"), F.first("_th").alias("_th"), F.first("_size").alias("_size"), F.first("_sig").alias("_sig")))
 
     def code(t: int) -> Column:
         word = F.element_at("_sig", t // 2 + 1)
         return F.shiftleft(word, 32) if t % 2 else word
 
-    tables = F.array(*[F.struct(F.lit(t).alias("table"), code(t).alias("code")) for t in range(TABLES)])
-    codes = nodes.select(F.inline(tables), F.slice("_sig", 1, CHECK_WORDS).alias("check"), F.col("_node").alias("node"))
-    links = trie_links(codes, TABLE_BUDGET, TABLE_BITS, CHECK_BUDGET)
-    return signed.drop("_sig").join(_rooted(nodes.drop("_sig"), links), "_node").drop("_node")
+    def codes(of: DataFrame, tables: int, *more: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(t).alias("table"), code(t).alias("code")) for t in range(tables)])
+        return of.select(F.inline(each), F.col("_sig").alias("check"), F.col("_node").alias("node"), *more)
+
+    # close copies: a star for each signature, a forest between signatures
+    firsts = cut_lineage(nodes.groupBy(F.xxhash64("_sig").alias("_s")).agg(F.min("_node").alias("_node"), F.first("_sig").alias("_sig")))
+    stars = nodes.join(firsts.select("_s", F.col("_node").alias("b")), F.xxhash64("_sig") == F.col("_s")).where("_node <> b")
+    forest = trie_links(codes(firsts, CLOSE_TABLES), TABLE_BUDGET, TABLE_BITS, CLOSE_BUDGET)
+    close = cut_lineage(stars.select(F.col("_node").alias("a"), "b").union(forest).distinct())
+    links = cut_lineage(_similar(close, nodes, slim, ngram))
+    # all candidates that these have not joined yet
+    label = components(links).withColumnRenamed("node", "_node")
+    labelled = nodes.join(label, "_node", "left").select("*", F.coalesce("root", "_node").alias("label"), F.col("_size").alias("size"))
+    pairs = cut_lineage(trie_links(codes(labelled, TABLES, "label", "size"), TABLE_BUDGET, TABLE_BITS, CHECK_BUDGET, LEAST))
+    links = cut_lineage(links.union(_similar(pairs, nodes, slim, ngram)))
+    return signed.select("_key", "_th", "_node").join(_rooted(nodes.select("_node", "_least"), links), "_node").drop("_node")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id): groups of documents whose shingle sets have a similarity of about 0.8 or more.
+    """(key, component_id): groups of documents linked by a Jaccard similarity of shingle sets of at least 0.8.
 
-    Signatures of 320 bits; each half of a 64-bit word is a table of its own, joined by the
-    trie walk with 3 errors, and a pair found is checked on 128 bits. Cases as in
-    :func:`fingerprint_components`; documents without words form one group.
+    Candidates come from signatures of 512 bits; each half of a 64-bit word is a table of its
+    own, joined by the trie walk with 3 errors. Every link is verified on the whole sets of
+    shingles (as 64-bit hashes). Cases as in :func:`fingerprint_components`; documents without
+    words form one group.
     """
     return _near(docs, ngram, key, text).select(F.col("_key").alias(key), "component_id")
 

@@ -178,3 +178,28 @@ def test_distinct_shingles_across_segments(monkeypatch):
     assert want != simhash.signature(text, 5, 2)
     monkeypatch.setattr(simhash, "SEGMENT", 37)
     assert simhash.signature(text, 5, 2, distinct=True) == want
+
+
+def test_only_verified_pairs_are_linked(spark):
+    """Families at similarities of 0.5 to 0.75 stay whole, and pairs of 0.8 and more are found."""
+    rng = random.Random(31)
+    texts, want = [], []
+    for shared in (0.5, 0.6, 0.7, 0.75):
+        m = round(400 * 2 * shared / (1 + shared))
+        base = words(rng, m)
+        for _ in range(30):
+            want.append(len(texts))
+            texts.append(" ".join(base + words(rng, 400 - m)))
+    assert 0.7 < jaccard(*texts[-2:]) < 0.8
+    for _ in range(100):
+        base = words(rng, 360)
+        for _ in range(2):
+            want.append(len(texts))
+            texts.append(" ".join(base + words(rng, 40)))
+        assert jaccard(*texts[-2:]) >= 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = dict(simhash.near_duplicates(docs).collect())
+    assert [got[i] for i in range(120)] == want[:120]
+    near = sum(got[i + 1] == got[i] == i for i in range(120, 320, 2))
+    print("pairs found of 100:", near, "at Jaccard", round(jaccard(*texts[-2:]), 3))
+    assert near >= 96
