@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import content, hilbert, langid, packing, pieces, pseudolm, quality, sharding, simhash, urlfilter
+from recollect.llm import (
+    content, hilbert, langid, packing, phrases, pieces, prefixtrie, pseudolm, quality, sharding, shortestpack, simhash, urlfilter,
+)
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # What decides where no rule fits: names that no training text should come from.
@@ -92,10 +94,33 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = shortestpack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
+    return cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c goes on from the first crc32(c) % 6 turns of conversation c - c % 100."""
+    lists = prefixtrie.turn_lists(table(spark, sf_dir, "conversations"))
+    shared = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(6))
+    rebuilt = prefixtrie.spliced(lists, F.col("conv_id") - F.col("conv_id") % 100, shared, 5)
+    nodes, members = prefixtrie.prefix_trie(rebuilt)
+    named = prefixtrie.with_end_hashes(prefixtrie.with_parent(nodes), members)
+    return named.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256"
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs, least=100, depth=5, top=2_000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_simhash, op2_pseudo_likelihood, op3_hilbert, op4_interleave, op5_url_rules, op6_language, op7_pieces,
-              op8_main_text, op9_bin_slack, op10_line_rules)
+              op8_main_text, op9_bin_slack, op10_line_rules, op11_shortest_pack, op12_prefix_trie, op13_collocations)
 }
 
 ORACLES: dict[str, str] = {
@@ -158,4 +183,62 @@ base AS (
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND all_chars - kept_chars <= 0.5 * all_chars AS kept FROM failed""",
+    # CRC-32 as above; a prefix is the list of its turns, told apart by its MD5
+    "op12_prefix_trie": """
+WITH turns AS (
+ SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+ FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+ SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+   range(1, length(conv_id::VARCHAR) + 1), lambda p: list_transform(range(8), lambda i: (ascii(substr(conv_id::VARCHAR, p, 1)) >> i) & 1)))),
+   lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b::BIGINT) & 1))), 4294967295::BIGINT) % 6 AS h
+ FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+ SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+ UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+lists AS (
+ SELECT c.conv_id, coalesce(l.turns, []) AS turns, coalesce(l.lens, []) AS lens FROM convs c LEFT JOIN (
+  SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY pos) AS turns, list(length(text) ORDER BY pos) AS lens
+  FROM rebuilt GROUP BY conv_id) l USING (conv_id)),
+steps AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns, lens FROM lists),
+prefixes AS (
+ SELECT conv_id, depth, md5(list_aggregate(turns[:depth], 'string_agg', '')) AS key, md5(list_aggregate(turns[:depth - 1], 'string_agg', '')) AS parent_key,
+  CASE WHEN depth = 0 THEN 0 ELSE lens[depth] END AS size, len(turns) = depth AS ends FROM steps),
+nodes AS (
+ SELECT coalesce(key, '') AS key, depth, any_value(CASE WHEN depth = 1 THEN '' WHEN depth > 1 THEN parent_key END) AS parent_key, min(conv_id) AS conv_id,
+  count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended
+ FROM prefixes GROUP BY ALL),
+kids AS (SELECT parent_key AS key, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (key, depth)),
+above AS (
+ SELECT coalesce(p.key, '') AS key, p.depth, f.key AS below, any_value(f.saved) AS saved, any_value(f.n_children) AS n_children
+ FROM full_nodes f JOIN prefixes q ON q.conv_id = f.conv_id AND q.depth = f.depth
+ JOIN prefixes p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY ALL),
+sums AS (SELECT key, depth, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY ALL)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ended) AS ends_sha256
+FROM full_nodes f JOIN sums s USING (key, depth) LEFT JOIN full_nodes p ON p.key = f.parent_key AND p.depth = f.depth - 1""",
+    "op13_collocations": """
+WITH pieces AS (
+ SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+ FROM documents),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+ SELECT lang, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS phrase
+ FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists CROSS JOIN (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING k = 1 OR count(*) >= 100),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+cands AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+kept AS (
+ SELECT c.* FROM cands c WHERE NOT EXISTS (
+  SELECT 1 FROM cands d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+ SELECT lang, phrase, a, c, list_aggregate(w[:c], 'string_agg', ' ') AS lp, list_aggregate(w[c + 1:], 'string_agg', ' ') AS rp
+ FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+scored AS (
+ SELECT t.lang, t.phrase, t.a, l.f AS l, r.f AS r, n, c, ((1000::HUGEINT * t.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+ FROM cuts t JOIN counts l ON l.lang = t.lang AND l.phrase = t.lp JOIN counts r ON r.lang = t.lang AND r.phrase = t.rp JOIN totals s ON s.lang = t.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked WHERE rank <= 2000""",
 }
