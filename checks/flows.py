@@ -39,6 +39,18 @@ def _(s, d):
     return w.select("session_id", F.expr("unix_micros(window_start) div 7200000000").alias("win"), "n", "last_msg_id")
 
 
+SWEPT = """SELECT session_id, last_consolidated_msg_id, CASE length(session_id) % 3 WHEN 0 THEN NULL WHEN 1 THEN TIMESTAMP '2024-01-31 23:00:00' ELSE TIMESTAMP '2024-01-31 22:00:00' END AS last_consolidated_at FROM wm"""
+
+
+@check("sweep_due", oracle(f"""SELECT session_id, count(*) AS n, max(msg_id) AS last_msg_id FROM activity LEFT JOIN swept USING (session_id)
+ WHERE (last_consolidated_at IS NULL OR epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_consolidated_at) >= 7200000000) AND msg_id > coalesce(last_consolidated_msg_id, 0) GROUP BY 1 HAVING count(*) >= 2""", "activity", wm=AWM, swept=SWEPT))
+def _(s, d):
+    (a,) = tables(s, d, "activity")
+    k = F.length("session_id") % 3
+    at = F.when(k == 1, F.lit("2024-01-31 23:00:00").cast("timestamp")).when(k == 2, F.lit("2024-01-31 22:00:00").cast("timestamp"))
+    return triggers.sweep_due(a, activity_watermarks(a).withColumn("last_consolidated_at", at), NOW)
+
+
 @check("watermark_advance", oracle("""SELECT session_id, greatest(w.last_consolidated_msg_id, m.m) AS last_consolidated_msg_id FROM wm w JOIN (SELECT session_id, max(msg_id) AS m FROM activity GROUP BY 1) m USING (session_id)""", "activity", wm=AWM))
 def _(s, d):
     (a,) = tables(s, d, "activity")
@@ -46,13 +58,36 @@ def _(s, d):
     return triggers.advance(w, a.select("session_id", F.col("msg_id").alias("last_msg_id")), NOW).select("session_id", "last_consolidated_msg_id")
 
 
-@check("rate_limit")
+def spaced_sql(src: str, key: str, seconds: int) -> dict[str, str]:
+    """The walk over ``src(id, key, us)`` that takes each first event at least ``seconds`` after the last one taken."""
+    gap = seconds * 1_000_000
+    return {
+        f"{key}_t": f"SELECT {key}, us, min(id) AS id FROM ({src}) GROUP BY ALL",
+        f"{key}_s": f"SELECT a.{key}, a.us, a.id, b.us AS nxt FROM {key}_t a ASOF LEFT JOIN {key}_t b ON a.{key} = b.{key} AND a.us + {gap} <= b.us",
+        f"{key}_w": f"SELECT {key}, min(us) AS us FROM {key}_t GROUP BY ALL UNION ALL SELECT s.{key}, s.nxt FROM {key}_w w JOIN {key}_s s ON s.{key} = w.{key} AND s.us = w.us WHERE s.nxt IS NOT NULL",
+        f"{key}_ok": f"SELECT t.id FROM {key}_t t JOIN {key}_w w ON t.{key} = w.{key} AND t.us = w.us",
+    }
+
+
+def recursive(sql: str, *names: str) -> str:
+    """The SQL with ``WITH RECURSIVE``; the tables that call themselves can't be materialised."""
+    for n in names:
+        sql = sql.replace(f"{n} AS MATERIALIZED", f"{n} AS")
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+EVENT_US = "SELECT msg_id AS id, sender_id AS user_id, 'all' AS everyone, epoch_us(ts) AS us FROM activity"
+
+
+@check("rate_limit", recursive(oracle("SELECT msg_id AS id, sender_id AS user_id, ts FROM activity WHERE msg_id IN (SELECT id FROM user_id_ok)", "activity",
+                                      **spaced_sql(EVENT_US, "everyone", 1800), **spaced_sql(f"SELECT * FROM ({EVENT_US}) WHERE id IN (SELECT id FROM everyone_ok)", "user_id", 7200)), "everyone_w", "user_id_w"))
 def _(s, d):
     (a,) = tables(s, d, "activity")
     return triggers.rate_limit(a.select(F.col("msg_id").alias("id"), F.col("sender_id").alias("user_id"), "ts"), 1800, 7200)
 
 
-@check("user_rate_limit")
+@check("user_rate_limit", recursive(oracle("SELECT msg_id AS id, sender_id AS user_id, ts FROM activity WHERE msg_id IN (SELECT id FROM user_id_ok)", "activity",
+                                           **spaced_sql(EVENT_US, "user_id", 86400)), "user_id_w"))
 def _(s, d):
     (a,) = tables(s, d, "activity")
     return triggers.spaced(a.select(F.col("msg_id").alias("id"), F.col("sender_id").alias("user_id"), "ts"), 86400, "user_id")

@@ -245,7 +245,45 @@ def _(s, d):
     return dedup.semantic_new(new, a, 0.05, 0.1)
 
 
-@check("semantic_scan")
+def scan_ctes(threshold: float, jaccard: float, vectors: str) -> dict[str, str]:
+    """The scan of one user's atoms: copies by counting, then turn by turn. ``vectors(atom_id, v)``."""
+    return dict(
+        sets=SETS,
+        live=f"""SELECT s.atom_id, s.bag, s.tokens, a.importance, v FROM sets s JOIN atoms a USING (atom_id) JOIN ({vectors}) USING (atom_id)
+  WHERE a.status = 'active' AND list_dot_product(v, v) >= 1e-20""",
+        copies="SELECT *, min(atom_id) OVER g AS gid, count(*) OVER g AS m, max(importance) OVER g AS top FROM live WINDOW g AS (PARTITION BY list_sort(bag), v)",
+        tied="SELECT gid, count(*) AS t, min(atom_id) AS first_id, max(atom_id) AS last_id, list(atom_id ORDER BY atom_id)[2] AS second_id FROM copies WHERE m > 1 AND importance = top GROUP BY gid",
+        folded="""SELECT atom_id, gid, CASE WHEN atom_id = stays THEN 'active' ELSE 'dormant' END AS status,
+   CASE WHEN importance = top AND t >= 2 AND atom_id <> second_id THEN 1 ELSE 0 END + CASE WHEN atom_id = stays THEN m - t ELSE 0 END AS wins
+  FROM (SELECT c.*, t, second_id, CASE WHEN t >= 3 THEN last_id ELSE first_id END AS stays FROM copies c JOIN tied USING (gid) WHERE m > 1)""",
+        alive="SELECT * FROM live WHERE atom_id NOT IN (SELECT atom_id FROM folded WHERE status = 'dormant')",
+        near=f"""SELECT l_id, r_id FROM (SELECT a.atom_id AS l_id, b.atom_id AS r_id, len(a.tokens) AS ln, len(b.tokens) AS rn, len(list_intersect(a.tokens, b.tokens)) AS shared, list_cosine_similarity(a.v, b.v) AS sim
+   FROM alive a JOIN alive b ON a.atom_id <> b.atom_id AND len(a.tokens) >= {jaccard} * len(b.tokens) AND len(b.tokens) >= {jaccard} * len(a.tokens))
+  WHERE shared / (ln + rn - shared) >= {jaccard} AND sim > {threshold}""",
+        st=MATCH["st"], post=MATCH["post"], fr=MATCH["fr"],
+        scores="""SELECT l_id, r_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS bm25
+  FROM near JOIN (SELECT atom_id, unnest(tokens) AS token FROM alive) n ON n.atom_id = l_id JOIN post ON post.atom_id = r_id AND post.token = n.token JOIN fr ON fr.token = n.token, st GROUP BY 1, 2""",
+        turns="""SELECT row_number() OVER (ORDER BY imp DESC, id) AS i, * FROM (SELECT l_id AS id, any_value(x.importance) AS imp, list(r_id ORDER BY bm25 DESC, r_id) AS partners,
+   list(y.importance ORDER BY bm25 DESC, r_id) AS imps FROM scores JOIN alive x ON x.atom_id = l_id JOIN alive y ON y.atom_id = r_id GROUP BY 1)""",
+        game="""SELECT 0::BIGINT AS i, []::BIGINT[] AS marked, NULL::BIGINT AS winner, NULL::BIGINT AS loser
+ UNION ALL SELECT i, CASE WHEN loser IS NULL THEN marked ELSE list_append(marked, loser) END, winner, loser FROM (
+  SELECT i, marked, CASE WHEN p IS NULL THEN NULL WHEN imp >= pimp THEN id ELSE p END AS winner, CASE WHEN p IS NULL THEN NULL WHEN imp >= pimp THEN p ELSE id END AS loser FROM (
+   SELECT *, partners[k] AS p, imps[k] AS pimp FROM (
+    SELECT t.*, g.marked, CASE WHEN list_contains(g.marked, t.id) THEN NULL ELSE list_position(list_transform(t.partners, lambda x: list_contains(g.marked, x)), false) END AS k
+    FROM game g JOIN turns t ON t.i = g.i + 1)))""",
+        scan="""SELECT atom_id, CASE WHEN bool_or(status = 'dormant') THEN 'dormant' ELSE 'active' END AS status, sum(wins)::BIGINT AS wins FROM (
+  SELECT atom_id, status, wins FROM folded UNION ALL SELECT winner, 'active', count(*) FROM game WHERE winner IS NOT NULL GROUP BY 1 UNION ALL SELECT loser, 'dormant', 0 FROM game WHERE loser IS NOT NULL) GROUP BY 1""",
+    )
+
+
+def scan_sql(body: str, threshold: float, jaccard: float, vectors: str) -> str:
+    return oracle(body, "atoms", **scan_ctes(threshold, jaccard, vectors)).replace("WITH ", "WITH RECURSIVE ", 1).replace("game AS MATERIALIZED", "game AS")
+
+
+STORED = "SELECT atom_id, CAST(embedding AS DOUBLE[]) AS v FROM atoms WHERE embedding IS NOT NULL"
+
+
+@check("semantic_scan", scan_sql("SELECT * FROM scan", 0.1, 0.2, STORED))
 def _(s, d):
     (a,) = tables(s, d, "atoms")
     return dedup.semantic_scan(a.withColumn("user_id", F.lit("all")), 0.1, 0.2)
@@ -403,10 +441,37 @@ def _(s, d):
     return social.decay(*tables(s, d, "social"), 14).select("from_user", "to_user", "status", F.round("weight", 6).alias("weight"))
 
 
-@check("relations_from_events")
+ACTIONS = ("claim", "confirm", "reject", "block", "co_occur", "remove", "unblock", "claim")
+LIVE = "(s.status IN ('pending', 'active'))"
+CLAIMS = f"(e.action = 'claim' AND NOT s.bf AND NOT s.bb AND NOT coalesce({LIVE} AND s.fwd <> e.fwd, false))"
+ANSWERS = "coalesce(s.status = 'pending' AND s.fwd <> e.fwd, false)"
+MEETS = f"(e.action = 'co_occur' AND NOT coalesce({LIVE}, false))"
+RELATIONS = dict(
+    ev=f"""SELECT event_id AS seq, concat('u_', CAST((user_id + event_id) % 40 AS VARCHAR)) AS actor, concat('u_', CAST((user_id * 3 + event_id) % 40 AS VARCHAR)) AS target,
+  ([{", ".join(f"'{x}'" for x in ACTIONS)}])[CAST((event_id * 7919) // 13 % 8 AS INT) + 1] AS action FROM events""",
+    log="""SELECT *, row_number() OVER (PARTITION BY a, b, rel ORDER BY seq) AS n FROM (
+  SELECT seq, least(actor, target) AS a, greatest(actor, target) AS b, action, actor <= target AS fwd, unnest(CASE WHEN action IN ('block', 'unblock') THEN ['friend_of', 'family_of', 'trusted_by'] ELSE ['friend_of'] END) AS rel
+  FROM ev WHERE actor <> target)""",
+    fold=f"""SELECT DISTINCT a, b, rel, 0::BIGINT AS n, NULL::VARCHAR AS status, NULL::BOOLEAN AS fwd, NULL::DOUBLE AS weight, NULL::DOUBLE AS cap, false AS bf, false AS bb FROM log
+ UNION ALL SELECT s.a, s.b, s.rel, e.n,
+  CASE WHEN {CLAIMS} THEN 'pending' WHEN e.action = 'confirm' AND {ANSWERS} THEN 'active' WHEN e.action = 'reject' AND {ANSWERS} THEN 'rejected' WHEN e.action = 'block' AND s.status IS NOT NULL THEN 'blocked'
+   WHEN {MEETS} THEN 'passive' WHEN e.action = 'remove' AND s.status IS NOT NULL THEN 'rejected' ELSE s.status END,
+  CASE WHEN {CLAIMS} OR {MEETS} THEN e.fwd ELSE s.fwd END,
+  CASE WHEN {CLAIMS} THEN 0.1 WHEN e.action = 'confirm' AND {ANSWERS} THEN 0.7 WHEN {MEETS} THEN 0.05 ELSE s.weight END,
+  CASE WHEN {CLAIMS} THEN 0.4 WHEN e.action = 'confirm' AND {ANSWERS} THEN 1.0 WHEN {MEETS} THEN 0.4 ELSE s.cap END,
+  CASE WHEN e.fwd AND e.action = 'block' THEN true WHEN e.fwd AND e.action = 'unblock' THEN false ELSE s.bf END,
+  CASE WHEN NOT e.fwd AND e.action = 'block' THEN true WHEN NOT e.fwd AND e.action = 'unblock' THEN false ELSE s.bb END
+  FROM fold s JOIN log e ON e.a = s.a AND e.b = s.b AND e.rel = s.rel AND e.n = s.n + 1""",
+    ends="SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY a, b, rel ORDER BY n DESC) = 1",
+)
+
+
+@check("relations_from_events", oracle("""SELECT CASE WHEN fwd THEN a ELSE b END AS from_user, CASE WHEN fwd THEN b ELSE a END AS to_user, rel AS relation_type, status, weight, cap FROM ends WHERE status IS NOT NULL
+ UNION ALL SELECT a, b, 'blocked_by', 'active', 1.0, 1.0 FROM ends WHERE rel = 'friend_of' AND bf UNION ALL SELECT b, a, 'blocked_by', 'active', 1.0, 1.0 FROM ends WHERE rel = 'friend_of' AND bb""",
+                                       **RELATIONS).replace("WITH ", "WITH RECURSIVE ", 1).replace("fold AS MATERIALIZED", "fold AS"))
 def _(s, d):
     (e,) = tables(s, d, "events")
-    act = F.element_at(F.array(*[F.lit(x) for x in ("claim", "confirm", "reject", "block", "co_occur", "remove", "unblock", "claim")]), (F.xxhash64("event_id") % 4 + 4).cast("int"))
+    act = F.element_at(F.array(*[F.lit(x) for x in ACTIONS]), F.expr("CAST((event_id * 7919) div 13 % 8 + 1 AS int)"))
     who = lambda n: F.concat(F.lit("u_"), ((F.col("user_id") * n + F.col("event_id")) % 40).cast("string"))
     return social.relations_from_events(e.select(F.col("event_id").alias("seq"), who(1).alias("actor"), who(3).alias("target"), act.alias("action"), F.lit("friend_of").alias("relation_type"))
                                         .filter("actor <> target"))
@@ -426,7 +491,7 @@ def _(s, d):
 def _(s, d):
     (p,) = tables(s, d, "personas")
     u = people(s, d)[0].withColumn("confidence", F.lit(0.3))
-    return users.mark_similar(u, users.similar(p, 0.35)).select("uid", F.round("confidence", 6).alias("confidence"))
+    return users.mark_similar(u, users.least_partner(p, 0.35)).select("uid", F.round("confidence", 6).alias("confidence"))
 
 
 @check("identity_upsert", oracle("""SELECT coalesce(i.uid, concat('u_', substr(sha256(concat('qq:', CAST(k AS VARCHAR))), 1, 12))) AS uid, count(*) AS seen FROM (

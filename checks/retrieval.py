@@ -190,11 +190,11 @@ def graph_kw_ctes(k: int, per_keyword: int = 1 << 60, newest: int = 1 << 60) ->
     )
 
 
-def graph_vec_ctes(k: int) -> dict[str, str]:
+def graph_vec_ctes(k: int, nearest: int = 1 << 60) -> dict[str, str]:
     return dict(
         vector_nodes="SELECT node_id, embedding FROM nodes WHERE embedding IS NOT NULL",
         near_nodes=top("""SELECT q.query_id, n.node_id, round(greatest(0.0, list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS sim
-   FROM (SELECT * FROM recall_queries WHERE embedding IS NOT NULL AND query_id IN (SELECT query_id FROM terms)) q, vector_nodes n""", "query_id", "sim DESC, node_id", 3 * k),
+   FROM (SELECT * FROM recall_queries WHERE embedding IS NOT NULL AND query_id IN (SELECT query_id FROM terms)) q, vector_nodes n""", "query_id", "sim DESC, node_id", nearest),
         node_diaries="SELECT DISTINCT from_node AS node_id, diary_id FROM mentions WHERE diary_id > 0 AND from_node IN (SELECT node_id FROM near_nodes)",
         node_atoms="SELECT DISTINCT node_id, atom_id, a.importance AS ai FROM node_diaries JOIN links l USING (diary_id) JOIN atoms a USING (atom_id) WHERE a.status = 'active'",
         gv_route="SELECT query_id, atom_id, rank, round(score, 6) AS score FROM (" + top(
@@ -229,7 +229,7 @@ def _(spark, d):
 
 
 @check("node_vector_search", oracle("SELECT query_id, node_id, rank, sim AS score FROM near_nodes", "diaries", "recall_queries", terms=TERMS, nodes=WORD_NODES,
-                                    **{k: v for k, v in graph_vec_ctes(5).items() if k in ("vector_nodes", "near_nodes")}))
+                                    **{k: v for k, v in graph_vec_ctes(5, 15).items() if k in ("vector_nodes", "near_nodes")}))
 def _(spark, d):
     (q,) = tables(spark, d, "recall_queries")
     nodes, _m = word_graph(spark, d)
@@ -268,6 +268,18 @@ def _(spark, d):
     return search.multi_route(a, l, nodes, m, search.query_terms(q), q, 10)
 
 
+@check("multi_route_own", oracle("SELECT query_id, atom_id, rank, score FROM fused", *GV, **{
+    "own": top("SELECT query_id, a.atom_id, a.importance FROM recall_queries q JOIN atoms a USING (user_id) WHERE a.status = 'active'", "query_id", "importance DESC, atom_id", 20, "query_id, atom_id"), **multi_ctes(10),
+    "doc_fused": rrf_cte(["kw_route", "vec", "own"], 10), "graph_fused": rrf_cte(["gk_route", "gv_route"], 10), "fused": rrf_cte(["doc_fused", "graph_fused"], 10)}))
+def _(spark, d):
+    """A caller's route, the most important atoms of the asking user, beside the four."""
+    a, l, q = tables(spark, d, "atoms", "links", "recall_queries")
+    nodes, m = word_graph(spark, d)
+    mine = q.select("query_id", "user_id").join(a.filter("status = 'active'").select("user_id", "atom_id", "importance"), "user_id")
+    own = search.top_n(mine, ["query_id"], [F.desc("importance"), F.asc("atom_id")], 20)
+    return search.multi_route(a, l, nodes, m, search.query_terms(q), q, 10, doc_routes=[own])
+
+
 def recall_ctes(k: int, cand: int) -> dict[str, str]:
     return dict(
         multi_ctes(cand),

@@ -6,13 +6,15 @@ routes can be fused by rank. Nothing here loops over queries on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text
-from recollect.operators.skew import top_n
+from recollect.operators.skew import ranked_in_slices, top_n
 from recollect.session import broadcast_if_small, cut_lineage
 
 # BM25 constants of the full-text index.
@@ -147,14 +149,20 @@ def _blend(cand: DataFrame, k: int, doc_id: str, importance: Column, mode: str,
 
 
 def bm25_ranked(atoms: DataFrame, terms: DataFrame, limit: int | None = None, **index) -> DataFrame:
-    """Rank-only form: all active matches by BM25, or the first ``limit`` per query."""
+    """Rank-only form: all active matches by BM25, or the first ``limit`` per query.
+
+    All matches of a query are ranked in slices of the score, so a query that matches
+    every atom is no single task.
+    """
     hits = bm25_scores(atoms, terms, "atom_id", "content", **index)
     live = atoms.filter(F.col("status") == "active").select("atom_id")
     order = [F.desc("bm25"), F.asc("atom_id")]
     hits = hits.join(live, "atom_id")
     if limit is not None:
         return top_n(hits, ["query_id"], order, limit)
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    # descending score as an ascending whole number: the scores have six places
+    turned = cut_lineage(hits.withColumn("_by", -F.round(F.col("bm25") * 1_000_000).cast("long")))
+    return ranked_in_slices(turned, "query_id", "_by", ["atom_id"]).drop("_by")
 
 
 def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str = "reference",
@@ -263,9 +271,12 @@ def keyword_route(atoms: DataFrame, terms: DataFrame, k: int, query_users: DataF
 
 
 def vector_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str, vec: str = "embedding",
-                eps: float = 1e-10, floor: float | None = None) -> DataFrame:
+                eps: float = 1e-10, floor: float | None = None, weight: str | None = None) -> DataFrame:
     """Exact cosine top ``k`` of ``items`` per query, ``(query_id, item_id, rank, score)``.
 
+    With ``weight``, a column of the items, the order is by cosine times weight, which
+    comes as a column ``weighted``.
+
     One block of queries is sent to the tasks, and items stay where they are. More
     queries meet the items in groups of (slice of the items, block of the queries) of
     bounded size. Either way one matrix product emits the ``k`` best of each query, so
@@ -274,8 +285,9 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str, vec:
     """
     q_type, id_type = dict(queries.dtypes)["query_id"], dict(items.dtypes)[item_id]
     asked = queries.select("query_id", F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    src = items.select(item_id, F.col(vec).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    schema = f"query_id {q_type}, {item_id} {id_type}, score double"
+    by = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    src = items.select(item_id, F.col(vec).cast("array<double>").alias("v"), by.alias("w")).filter("v IS NOT NULL")
+    schema = f"query_id {q_type}, {item_id} {id_type}, score double, weighted double"
     blocks = max(1, -(-asked.count() // _VECTOR_BLOCK))
     if blocks == 1:
         held = asked.toPandas()  # at most one block
@@ -292,16 +304,17 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, item_id: str, vec:
         right = asked.select("*", every(slices).alias("_s"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"))
         found = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(
             lambda x, q: _best(x, q, item_id, k, eps, floor), schema)
-    return top_n(found, ["query_id"], [F.desc("score"), F.asc(item_id)], k).select("query_id", item_id, "rank", "score")
+    best = top_n(found, ["query_id"], [F.desc("weighted"), F.asc(item_id)], k)
+    return best.select("query_id", item_id, "rank", "score", *(["weighted"] if weight else []))
 
 
 def _best(items: pd.DataFrame, asked: pd.DataFrame, item_id: str, k: int, eps: float, floor: float | None) -> pd.DataFrame:
-    """The ``k`` best items of each query by cosine rounded to six places, ties to the smaller id."""
-    out = [pd.DataFrame({"query_id": [], item_id: [], "score": []})]
+    """The ``k`` best items of each query by cosine rounded to six places times the item's weight, ties to the smaller id."""
+    out = [pd.DataFrame({"query_id": [], item_id: [], "score": [], "weighted": []})]
     dims, asked_dims = items["v"].map(len).to_numpy(), asked["v"].map(len).to_numpy()
     for dim in np.intersect1d(dims, asked_dims):
-        ids, x = _units(items[dims == dim], item_id, eps)
-        qids, q = _units(asked[asked_dims == dim], "query_id", eps)
+        ids, x, own = _units(items[dims == dim], item_id, eps)
+        qids, q, _ = _units(asked[asked_dims == dim], "query_id", eps)
         if not len(ids):
             continue
         order = np.unique(ids, return_inverse=True)[1]
@@ -309,20 +322,24 @@ def _best(items: pd.DataFrame, asked: pd.DataFrame, item_id: str, k: int, eps: f
         for a in range(0, len(qids), 256):
             sims = q[a : a + 256] @ x.T
             score = np.round(sims if floor is None else np.maximum(sims, floor), 6)
-            edge = np.partition(score, len(ids) - m, axis=1)[:, len(ids) - m, None]
-            r, c = np.nonzero(score >= edge)
-            by = np.lexsort((order[c], -score[r, c], r))
+            worth = score * own
+            edge = np.partition(worth, len(ids) - m, axis=1)[:, len(ids) - m, None]
+            r, c = np.nonzero(worth >= edge)
+            by = np.lexsort((order[c], -worth[r, c], r))
             r, c = r[by], c[by]
             ok = np.arange(len(r)) - np.searchsorted(r, r) < k
-            out.append(pd.DataFrame({"query_id": qids[a + r[ok]], item_id: ids[c[ok]], "score": score[r[ok], c[ok]]}))
+            r, c = r[ok], c[ok]
+            out.append(pd.DataFrame({"query_id": qids[a + r], item_id: ids[c], "score": score[r, c], "weighted": worth[r, c]}))
     return pd.concat(out[1:] or out)
 
 
-def _units(rows: pd.DataFrame, key: str, eps: float) -> tuple[np.ndarray, np.ndarray]:
+def _units(rows: pd.DataFrame, key: str, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, unit vectors and weights (1 without a column ``w``)."""
     m = np.vstack(rows["v"].to_numpy()).astype(float)
     norm = np.linalg.norm(m, axis=1)
     ok = norm >= eps
-    return rows[key].to_numpy()[ok], m[ok] / norm[ok, None]
+    own = rows["w"].to_numpy() if "w" in rows else np.ones(len(rows))
+    return rows[key].to_numpy()[ok], m[ok] / norm[ok, None], own[ok]
 
 
 def vector_atoms(atoms: DataFrame, queries: DataFrame, k: int, user_id: str | None = None,
@@ -340,7 +357,7 @@ def vector_atoms(atoms: DataFrame, queries: DataFrame, k: int, user_id: str | No
 
 def vector_nodes(nodes: DataFrame, queries: DataFrame, k: int, newest: int | None = None, model: str | None = None) -> DataFrame:
     """Vector search over entity, topic and user nodes (all, or the ``newest``); negative similarities count as 0."""
-    live = nodes.filter(F.col("type").isin("entity", "topic", "user") & F.col("embedding").isNotNull())
+    live = _searched(nodes)
     if model is not None:
         live = live.filter(F.col("embedding_model") == model)
     if newest is not None:
@@ -348,6 +365,10 @@ def vector_nodes(nodes: DataFrame, queries: DataFrame, k: int, newest: int | Non
     return vector_topk(live, queries, k, "node_id", eps=1e-9, floor=0.0)
 
 
+def _searched(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(F.col("type").isin("entity", "topic", "user") & F.col("embedding").isNotNull())
+
+
 # ---------------------------------------------------------------- graph routes
 
 
@@ -414,25 +435,51 @@ def graph_keyword_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, me
 
 def graph_vector_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions: DataFrame, queries: DataFrame,
                        k: int, nearest: int | None = None, mode: str = "complete") -> DataFrame:
-    """The ``nearest`` nodes (``3k``), their diaries and atoms; similarity times importance, best per atom.
-
-    All atoms of a node count; its ``k`` most important ones hold its share of any
-    query's best ``k``. Nodes of similarity 0 are not near. ``mode='reference'`` searches
-    the newest 500 nodes and takes three atoms from the newest 30 diaries of each.
+    """Atoms of near nodes by similarity times importance, best node per atom; nodes of similarity 0 are not near.
+
+    All nodes count: they are searched in the order of similarity times their most
+    important atom, a block at a time, until that product falls below a query's ``k``-th
+    score; only queries that are not through go on to a block four times as large. A
+    node's ``k`` most important atoms hold its share of any query's best ``k``.
+    ``nearest`` stops at so many nodes by similarity; ``mode='reference'`` at ``3k`` of the
+    newest 500, with three atoms from the newest 30 diaries of each.
     """
-    cut = mode == "reference"
-    near = vector_nodes(nodes, queries, nearest or 3 * k, 500 if cut else None).select("query_id", "node_id", F.col("score").alias("sim"))
-    near = near if cut else near.filter(F.col("sim") > 0)
-    near = cut_lineage(near)
-    # diaries and atoms of a node do not depend on the query: do each node once
-    heads = near.select("node_id").distinct()
-    diaries = linked_diaries(mentions, heads, ["node_id"], 30 if cut else None)
-    by = "link_importance" if cut else "atom_importance"
-    per = atoms_of_diaries(atoms, links, diaries, ["node_id"], 3 if cut else k, by).select("node_id", "atom_id", "atom_importance")
-    eff = near.join(per, "node_id").groupBy("query_id", "atom_id").agg(F.max(F.col("sim") * F.col("atom_importance")).alias("score"))
-    eff = eff.withColumn("score", F.round("score", 6)) if cut else eff
-    return top_n(eff, ["query_id"], [F.desc("score"), F.asc("atom_id")], k).select(
-        "query_id", "atom_id", "rank", F.round("score", 6).alias("score"))
+    order = [F.desc("score"), F.asc("atom_id")]
+    if mode == "reference" or nearest is not None:
+        cut = mode == "reference"
+        near = vector_nodes(nodes, queries, nearest or 3 * k, 500 if cut else None).select("query_id", "node_id", F.col("score").alias("sim"))
+        near = cut_lineage(near if cut else near.filter(F.col("sim") > 0))
+        # diaries and atoms of a node do not depend on the query: do each node once
+        diaries = linked_diaries(mentions, near.select("node_id").distinct(), ["node_id"], 30 if cut else None)
+        per = atoms_of_diaries(atoms, links, diaries, ["node_id"], 3 if cut else k, "link_importance" if cut else "atom_importance")
+        eff = near.join(per, "node_id").groupBy("query_id", "atom_id").agg(F.max(F.col("sim") * F.col("atom_importance")).alias("score"))
+        eff = eff.withColumn("score", F.round("score", 6)) if cut else eff
+        return top_n(eff, ["query_id"], order, k).select("query_id", "atom_id", "rank", F.round("score", 6).alias("score"))
+    kinds = _searched(nodes)
+    diaries = linked_diaries(mentions, kinds, ["node_id"])
+    per = cut_lineage(atoms_of_diaries(atoms, links, diaries, ["node_id"], k, "atom_importance").select("node_id", "atom_id", "atom_importance", "rank"))
+    first = per.filter("rank = 1").select("node_id", F.col("atom_importance").alias("_top"))
+    heads = cut_lineage(kinds.join(first, "node_id").select("node_id", "embedding", "_top"))
+    total, open_, block, through = heads.count(), queries, 3 * k, []
+    while True:
+        near = vector_topk(heads, open_, block, "node_id", eps=1e-9, floor=0.0, weight="_top").filter(F.col("score") > 0)
+        near = cut_lineage(near)
+        eff = near.join(per.drop("rank"), "node_id").groupBy("query_id", "atom_id").agg(F.max(F.col("score") * F.col("atom_importance")).alias("score"))
+        found = cut_lineage(top_n(eff, ["query_id"], order, k))
+        if block >= total:
+            through.append(found)
+            break
+        kth = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
+        last = near.filter(F.col("rank") == block).select("query_id", F.col("weighted").alias("_last"))
+        more = cut_lineage(last.join(kth, "query_id", "left").filter("_kth IS NULL OR _last >= _kth").select("query_id"))
+        through.append(found.join(more, "query_id", "left_anti"))
+        if more.isEmpty():
+            break
+        open_, block = open_.join(more, "query_id", "left_semi"), block * 4
+    out = through[0]
+    for t in through[1:]:
+        out = out.unionByName(t)
+    return out.select("query_id", "atom_id", "rank", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- fusion
@@ -450,11 +497,14 @@ def rrf(routes: list[DataFrame], k: int, c: int = 60) -> DataFrame:
 
 
 def multi_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions: DataFrame, terms: DataFrame,
-                query_vectors: DataFrame | None, k: int, **index) -> DataFrame:
+                query_vectors: DataFrame | None, k: int, doc_routes: Sequence[DataFrame] = (), graph_routes: Sequence[DataFrame] = (),
+                **index) -> DataFrame:
     """Document routes and graph routes fused inside each family, then across.
 
     A route yields at most ``2k`` rows per query; each is cut from its lineage, so
-    the fusion steps that read it several times do not run it again.
+    the fusion steps that read it several times do not run it again. A caller's own
+    routes, ``(query_id, atom_id, rank)`` in ``doc_routes`` and ``graph_routes``, join
+    their family; of each query's rows the first ``2k`` count.
     """
     terms = cut_lineage(terms)
     doc = [keyword_route(atoms, terms, 2 * k, **index)]
@@ -463,6 +513,8 @@ def multi_route(atoms: DataFrame, links: DataFrame, nodes: DataFrame, mentions:
         asked = query_vectors.join(terms.select("query_id").distinct(), "query_id", "left_semi")
         doc.append(vector_atoms(atoms, asked, 2 * k))
         graph.append(graph_vector_route(atoms, links, nodes, mentions, asked, 2 * k))
+    doc += [r.filter(F.col("rank") <= 2 * k) for r in doc_routes]
+    graph += [r.filter(F.col("rank") <= 2 * k) for r in graph_routes]
     doc, graph = [cut_lineage(r) for r in doc], [cut_lineage(r) for r in graph]
     return rrf([rrf(doc, k), rrf(graph, k)], k)
 

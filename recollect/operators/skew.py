@@ -65,3 +65,18 @@ def prefix_rank(
         .withColumn(rank, F.col("_offset") + F.col("_r"))
         .drop("_slice", "_r", "_offset")
     )
+
+
+def ranked_in_slices(df: DataFrame, key: str, by: str, ties: Sequence[str], rank: str = "rank", width: int = 4_096) -> DataFrame:
+    """``row_number() over (partition by key order by by, ties)`` for a whole number ``by`` that may repeat.
+
+    Slices are runs of ``width`` values of ``by``. Rows are numbered inside their slice and
+    shifted by the rows of the key's earlier slices (a window over slice counts only).
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(by) / F.lit(width)))
+    counts = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    local = Window.partitionBy(key, "_slice").orderBy(by, *ties)
+    return sliced.withColumn("_r", F.row_number().over(local)).join(offsets, [key, "_slice"]).withColumn(
+        rank, (F.col("_offset") + F.col("_r")).cast("int")).drop("_slice", "_r", "_offset")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect import schemas
+from recollect.session import broadcast_if_small, cut_lineage
 
 # Weight and cap per relation state, decay per day, floor.
 PENDING_WEIGHT, PENDING_CAP = 0.1, 0.4
@@ -13,8 +14,9 @@ ACTIVE_WEIGHT, ACTIVE_CAP = 0.7, 1.0
 PASSIVE_WEIGHT, PASSIVE_CAP = 0.05, 0.4
 ACTIVE_RATE, PENDING_RATE, FLOOR = 0.95, 0.85, 0.02
 
-# events of one pair are folded in slices of at most this many log positions
+# events of one pair that are folded together at most
 _LOG_SLICE = 10_000
+_ACTIONS = ("claim", "confirm", "reject", "block", "unblock", "remove", "co_occur")
 
 
 def _both_ways(edges: DataFrame, *cols: str) -> DataFrame:
@@ -102,50 +104,46 @@ def decay(edges: DataFrame, days: int = 7) -> DataFrame:
 # ---------------------------------------------------------------- relations from events
 
 
-def _struct(status, forward, weight, cap, bf, bb) -> Column:
-    return F.struct(status.cast("string").alias("status"), forward.cast("boolean").alias("forward"), weight.cast("double").alias("weight"),
-                    cap.cast("double").alias("cap"), bf.cast("boolean").alias("block_f"), bb.cast("boolean").alias("block_b"))
+# (status, forward, weight, cap, block_f, block_b); forward: the edge runs from the smaller to the larger uid
+State = tuple[str | None, bool | None, float | None, float | None, bool, bool]
 
 
-def _nothing() -> Column:
-    n = F.lit(None)
-    return _struct(n, n, n, n, F.lit(False), F.lit(False))
-
-
-def _step(s: Column, e: Column) -> Column:
-    """One event on one relation of a pair. ``forward``: the edge runs from the smaller to the larger uid."""
-    act, fwd = e["action"], e["forward"]
-    live = F.coalesce(s["status"].isin("pending", "active"), F.lit(False))
-    exists = s["status"].isNotNull()
-    blocked = s["block_f"] | s["block_b"]
-    claims = (act == "claim") & ~blocked & ~(live & (s["forward"] != fwd))
+def _after(s: State, action: str, forward: bool) -> State:
+    """One event on one relation of a pair."""
+    status, fwd, weight, cap, bf, bb = s
+    live = status in ("pending", "active")
     # confirm and reject come from the person the claim was made to
-    answers = (s["status"] == "pending") & (s["forward"] != fwd)
-    confirms = (act == "confirm") & F.coalesce(answers, F.lit(False))
-    rejects = (act == "reject") & F.coalesce(answers, F.lit(False))
-    blocks = act == "block"
-    meets = (act == "co_occur") & ~live
-    removes = (act == "remove") & exists
-    unblocks = act == "unblock"
-    status = (F.when(claims, "pending").when(confirms, "active").when(rejects, "rejected").when(blocks & exists, "blocked")
-              .when(meets, "passive").when(removes, "rejected").otherwise(s["status"]))
-    forward = F.when(claims | meets, fwd).otherwise(s["forward"])
-    weight = F.when(claims, PENDING_WEIGHT).when(confirms, ACTIVE_WEIGHT).when(meets, PASSIVE_WEIGHT).otherwise(s["weight"])
-    cap = F.when(claims, PENDING_CAP).when(confirms, ACTIVE_CAP).when(meets, PASSIVE_CAP).otherwise(s["cap"])
-    bf = F.when(blocks & fwd, True).when(unblocks & fwd, False).otherwise(s["block_f"])
-    bb = F.when(blocks & ~fwd, True).when(unblocks & ~fwd, False).otherwise(s["block_b"])
-    return _struct(status, forward, weight, cap, bf, bb)
-
-
-def _all_states() -> list[tuple]:
-    rels = [(None, None, None, None)]
-    for f in (True, False):
-        rels.append(("pending", f, PENDING_WEIGHT, PENDING_CAP))
-        rels.append(("active", f, ACTIVE_WEIGHT, ACTIVE_CAP))
-        rels.append(("passive", f, PASSIVE_WEIGHT, PASSIVE_CAP))
-        for dead in ("rejected", "blocked"):
-            rels += [(dead, f, w, c) for w, c in ((PENDING_WEIGHT, PENDING_CAP), (ACTIVE_WEIGHT, ACTIVE_CAP), (PASSIVE_WEIGHT, PASSIVE_CAP))]
-    return [(*r, bf, bb) for r in rels for bf in (False, True) for bb in (False, True)]
+    answers = status == "pending" and fwd != forward
+    if action == "claim" and not (bf or bb) and not (live and fwd != forward):
+        return "pending", forward, PENDING_WEIGHT, PENDING_CAP, bf, bb
+    if action == "confirm" and answers:
+        return "active", fwd, ACTIVE_WEIGHT, ACTIVE_CAP, bf, bb
+    if action == "reject" and answers:
+        return "rejected", fwd, weight, cap, bf, bb
+    if action == "block":
+        return status and "blocked", fwd, weight, cap, bf or forward, bb or not forward
+    if action == "unblock":
+        return status, fwd, weight, cap, bf and not forward, bb and forward
+    if action == "remove" and status:
+        return "rejected", fwd, weight, cap, bf, bb
+    if action == "co_occur" and not live:
+        return "passive", forward, PASSIVE_WEIGHT, PASSIVE_CAP, bf, bb
+    return s
+
+
+def _machine() -> tuple[list[State], list[int]]:
+    """All states that can be reached, the empty one first, and for event ``e`` (action and direction) and state ``s``
+    at ``e * states + s`` the state after it. Fewer than 128 states."""
+    states: list[State] = [(None, None, None, None, False, False)]
+    number = {states[0]: 0}
+    for s in states:  # grows while it is read
+        for action in _ACTIONS:
+            for forward in (False, True):
+                t = _after(s, action, forward)
+                if t not in number:
+                    number[t] = len(states)
+                    states.append(t)
+    return states, [number[_after(s, a, f)] for a in _ACTIONS for f in (False, True) for s in states]
 
 
 def relations_from_events(events: DataFrame) -> DataFrame:
@@ -153,10 +151,11 @@ def relations_from_events(events: DataFrame) -> DataFrame:
 
     ``seq`` is the unique log position. Actions: claim, confirm, reject, block,
     unblock, remove and co_occur; a confirm or reject counts only from the person
-    claimed. The log of a pair is folded in slices of log positions: a pair within
-    one slice (nearly all) is one fold; for a busier pair every slice is first
-    turned into a table from each possible state to its outcome, and only those
-    tables are chained. No task ever holds a busy pair's log.
+    claimed. A relation is a machine with a few dozen states. The log of a pair with up
+    to ``_LOG_SLICE`` events is one fold; a longer one is cut into slices of log positions,
+    each folded to a table with one byte for the state after each state before, and
+    neighbouring tables are composed two by two, round by round: a task holds a slice or
+    two tables, never a busy pair's log.
     """
     small = F.least("actor", "target")
     large = F.greatest("actor", "target")
@@ -165,21 +164,35 @@ def relations_from_events(events: DataFrame) -> DataFrame:
     met = base.filter(F.col("action") == "co_occur").withColumn("relation_type", F.lit("friend_of"))
     blocks = base.filter(F.col("action").isin("block", "unblock")).withColumn(
         "relation_type", F.explode(F.array(*[F.lit(r) for r in schemas.SOCIAL_RELATIONS])))
-    log = own.unionByName(met).unionByName(blocks)
     key = ["a", "b", "relation_type"]
-    sliced = log.withColumn("slice", F.expr(f"seq div {_LOG_SLICE}")).groupBy(*key, "slice").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "action", "forward"))).alias("ev"))  # at most _LOG_SLICE rows
-    busy = sliced.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    calm = sliced.join(busy.filter("_n = 1").drop("_n"), key, "left_semi").select(
-        *key, F.aggregate("ev", _nothing(), _step).alias("s"))
-    states = F.array(*[_struct(*[F.lit(v) for v in st]) for st in _all_states()])
-    # a slice as a table: outcome of every start state, keyed by the state's text
-    table = F.map_from_entries(F.transform(states, lambda st: F.struct(
-        F.to_json(st).alias("k"), F.aggregate(F.col("ev"), st, _step).alias("v"))))
-    tables = sliced.join(busy.filter("_n > 1").drop("_n"), key, "left_semi").select(*key, "slice", table.alias("t"))
-    chained = tables.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("slice", F.map_entries("t").alias("t")))).alias("ts")).select(
-        *key, F.aggregate("ts", _nothing(), lambda s, t: F.element_at(F.map_from_entries(t["t"]), F.to_json(s))).alias("s"))
-    both = calm.unionByName(chained)
+    states, after = _machine()
+    code = F.coalesce(*[F.when(F.col("action") == x, 2 * i) for i, x in enumerate(_ACTIONS)]) + F.col("forward").cast("int")
+    log = cut_lineage(own.unionByName(met).unionByName(blocks).select(*key, "seq", (code * len(states)).alias("e")))
+    moves = F.lit([int(x) for x in after])
+
+    def then(s: Column, e: Column) -> Column:
+        return F.element_at(moves, e["e"] + s + 1)
+
+    busy = broadcast_if_small(cut_lineage(log.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _LOG_SLICE).select(*key)))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "e"))).alias("ev")  # at most _LOG_SLICE rows
+    calm = log.join(busy, key, "left_anti").groupBy(*key).agg(ordered).select(*key, F.aggregate("ev", F.lit(0), then).alias("at"))
+    sliced = log.join(busy, key).groupBy(*key, F.expr(f"seq div {_LOG_SLICE}").alias("slice")).agg(ordered)
+    start = F.lit(list(range(len(states))))
+    table = F.aggregate("ev", start, lambda t, e: F.transform(t, lambda s: then(s, e)))
+    tables = cut_lineage(sliced.select(*key, "slice", table.cast("array<tinyint>").alias("t")))
+    last = tables.agg(F.max("slice") - F.min("slice"), F.min("slice")).first()
+    if last[0] is not None:
+        tables = tables.withColumn("slice", F.col("slice") - last[1])
+        for k in range(int(last[0]).bit_length()):  # as many rounds as the number of slices has bits
+            pair = F.sort_array(F.collect_list(F.struct("slice", "t")))  # one or two
+            tables = tables.groupBy(*key, F.expr("slice div 2").alias("_half")).agg(pair.alias("p")).select(
+                *key, F.col("_half").alias("slice"), F.when(F.size("p") == 1, F.col("p")[0]["t"]).otherwise(
+                    F.transform(F.col("p")[0]["t"], lambda s: F.element_at(F.col("p")[1]["t"], s.cast("int") + 1))).alias("t"))
+            tables = cut_lineage(tables) if k % 4 == 3 else tables
+    found = calm.unionByName(tables.select(*key, F.col("t")[0].cast("int").alias("at")))
+    names = ("status string", "forward boolean", "weight double", "cap double", "block_f boolean", "block_b boolean")
+    shown = F.array(*[F.struct(*[F.lit(v).cast(n.split()[1]).alias(n.split()[0]) for v, n in zip(st, names)]) for st in states])
+    both = found.select(*key, F.element_at(shown, F.col("at") + 1).alias("s"))
     fwd = F.col("s.forward")
     ties = both.filter(F.col("s.status").isNotNull()).select(
         F.when(fwd, F.col("a")).otherwise(F.col("b")).alias("from_user"), F.when(fwd, F.col("b")).otherwise(F.col("a")).alias("to_user"),

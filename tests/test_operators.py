@@ -110,6 +110,26 @@ def test_vector_pairs_match_brute_force(spark, monkeypatch):
         assert rows(similarity.vector_pairs(df, theta), "l_id", "r_id") == want
 
 
+def test_least_similar_and_pruning(spark, monkeypatch):
+    """Least partner against brute force; on clustered vectors the share of compared pairs falls as the table grows."""
+    monkeypatch.setattr(similarity, "_CELL_BLOCK", 50)
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (400, 4_000):
+        centres = rng.normal(size=(n // 20, 16))
+        m = np.repeat(centres, 20, axis=0) + rng.normal(size=(n, 16)) * .05
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, embedding array<double>")
+        u = m / np.linalg.norm(m, axis=1)[:, None]
+        sims = u @ u.T
+        np.fill_diagonal(sims, -1)
+        want = {i: round(float(r[r >= .9].min()), 9) for i, r in enumerate(sims) if (r >= .9).any()}
+        assert {r["id"]: round(r["sim"], 9) for r in similarity.least_similar(df, .9).collect()} == want
+        met, every = similarity.compared_pairs(df, .9)
+        shares.append(met / every)
+    print("share of pairs compared:", shares)
+    assert shares[1] < shares[0] / 2 and shares[1] < 0.1
+
+
 def _bm25(query, doc, corpus):
     n, avg = len(corpus), sum(map(len, corpus)) / len(corpus)
     s = 0.0
