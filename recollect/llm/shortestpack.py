@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.batches import bounded
-from recollect.llm.packing import BLANK, DIGIT, GATHERED, LETTER, OTHER, STRANGE, WORDS, _WordIds
+from recollect.llm.packing import BLANK, DIGIT, GATHERED, LETTER, OTHER, STRANGE, _WordIds
 from recollect.session import broadcast_if_small, cut_lineage
 
 LONG = 64  # bytes of the longest unit that is remembered
+UNITS, TABLE_BITS = 1_200_000, 21  # units whose ids a Python worker remembers; log2 of the places of their table
 END = 255  # a byte that UTF-8 has not, behind each document
 _CUT = re.compile("(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")  # nothing before changes how the text is parted from here on
 _KIND = np.full(256, OTHER, np.uint8)
@@ -28,6 +30,10 @@ _KIND[[*range(65, 91), *range(97, 123)]] = LETTER
 _KIND[48:58] = DIGIT
 _KIND[128:] = STRANGE
 _KIND[[28, 29, 30, 31, 127]] = STRANGE  # controls that some hold for white space
+# Byte-level vocabularies write a printable Latin-1 byte as its character and the others, in order, from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELL = np.arange(256, dtype="<u2")
+_SPELL[sorted(set(range(256)) - set(_PLAIN))] = 256 + np.arange(256 - len(_PLAIN))
 
 
 class ByteIds(_WordIds):
@@ -42,22 +48,24 @@ class ByteIds(_WordIds):
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would spin
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.parts = Tokenizer.from_file(path)
-        self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model  # merges one unit, its bytes written as characters
         self.weights = np.random.default_rng(11).integers(0, 1 << 64, LONG, dtype=np.uint64)
         self._reset()
 
     def _learn(self, units: list[str], odd: np.ndarray) -> np.ndarray:
-        """Adds the ids of new units to the pool; their numbers."""
-        data = [b""] * len(units)
-        for rows, tokenizer in ((np.flatnonzero(~odd).tolist(), self.parts), (np.flatnonzero(odd).tolist(), self.whole)):
-            for k, e in zip(rows, tokenizer.encode_batch_fast([units[k] for k in rows], add_special_tokens=False) if rows else ()):
-                data[k] = np.array(e.ids, dtype="<u4").tobytes()
-        n = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        ids = np.frombuffer(b"".join(data), "<u4")
+        """Adds the ids of new units to the pool; their numbers. Odd ones are text, the others spelled byte by byte."""
+        found: list[list[int]] = [[]] * len(units)
+        merge = self.model.tokenize
+        for k in np.flatnonzero(~odd).tolist():
+            found[k] = [t.id for t in merge(units[k])]
+        rows = np.flatnonzero(odd).tolist()
+        for k, e in zip(rows, self.whole.encode_batch_fast([units[k] for k in rows], add_special_tokens=False) if rows else ()):
+            found[k] = e.ids
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -67,6 +75,33 @@ class ByteIds(_WordIds):
         self.used += len(ids)
         return number
 
+    def _reset(self) -> None:
+        super()._reset()
+        self.keys, self.slots = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the units with these hashes; -1: not seen."""
+        out = np.full(len(h), -1, np.int64)
+        at, slot = np.arange(len(h)), (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(at):
+            key = self.keys[slot]
+            hit = key == h[at]
+            out[at[hit]] = self.slots[slot[hit]]
+            go = ~hit & (key != 0)
+            at, slot = at[go], (slot[go] + 1) % (1 << TABLE_BITS)
+        return out
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Enters different hashes, each into the first free place from its own on."""
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            one = np.zeros(len(h), bool)
+            one[np.unique(slot, return_index=True)[1]] = True
+            one &= free
+            self.keys[slot[one]], self.slots[slot[one]] = h[one], number[one]
+            h, number, slot = h[~one], number[~one], (slot[~one] + 1) % (1 << TABLE_BITS)
+
     @staticmethod
     def _units(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of documents (each with ``END`` behind it), where units begin and which are odd; ``END`` is a unit."""
@@ -110,15 +145,17 @@ class ByteIds(_WordIds):
         if len(new):
             known, at, back = np.unique(np.where(short[new], h[new], np.uint64(2) * new.astype(np.uint64)), return_index=True, return_inverse=True)
             where = new[at]
-            raw = [data[b : b + n] for b, n in zip(begin[where].tolist(), size[where].tolist())]
-            mine = self._learn(["" if r == b"\xff" else r.decode() for r in raw], odd[where])
+            spelled = _SPELL[a].tobytes().decode("utf-16-le")
+            at, to, strange = begin[where].tolist(), (begin[where] + size[where]).tolist(), odd[where]
+            texts = [data[x:y].decode() if o else "" if a[x] == END else spelled[x:y] for x, y, o in zip(at, to, strange.tolist())]
+            mine = self._learn(texts, strange)
             number[new] = mine[back]
             keep = short[where]
             self._put(known[keep], mine[keep])
         return begin, number
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.start) > WORDS or self.used > 8 * WORDS:
+        if len(self.start) > UNITS or self.used > 8 * UNITS:
             self._reset()
         docs = [(t or "").encode() for t in texts]
         if not docs:
