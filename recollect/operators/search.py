@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import text
@@ -89,6 +89,25 @@ def query_terms(queries: DataFrame, content: str = "query", limit: int | None =
 # ---------------------------------------------------------------- BM25
 
 
+def _asked_postings(docs: DataFrame, terms: DataFrame, doc_id: str, content: str, tokenizer: text.Tokenizer,
+                    index: DataFrame | None, stats: DataFrame | None) -> tuple[DataFrame, DataFrame, Column]:
+    """Postings of the asked tokens, ``(query_id, token, df)`` and a struct of the corpus totals."""
+    vocabulary = terms.select("token").distinct()
+    post = index.join(broadcast_if_small(vocabulary), "token", "left_semi") if index is not None else \
+        postings(docs, doc_id, content, tokenizer, vocabulary)
+    st = stats if stats is not None else corpus_stats(docs, content, tokenizer)
+    freq = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # query terms with their document frequency: at most one row per query keyword
+    weighted = terms.select("query_id", "token").distinct().join(freq, "token")
+    return post, weighted, st.select(F.struct("n_docs", "avg_len")).scalar()
+
+
+def _bm25_sum(matches: DataFrame, doc_id: str, one: Column, *more: str) -> DataFrame:
+    """``(query_id, doc_id, bm25)`` from ``matches`` of postings and weighted terms, rounded to 6 places."""
+    w = idf(F.col("df"), one["n_docs"]) * term_weight(F.col("tf"), F.col("doc_len"), one["avg_len"])
+    return matches.select("query_id", doc_id, *more, w.alias("w")).groupBy("query_id", doc_id, *more).agg(F.round(F.sum("w"), 6).alias("bm25"))
+
+
 def bm25_scores(docs: DataFrame, terms: DataFrame, doc_id: str, content: str,
                 tokenizer: text.Tokenizer = text.words, index: DataFrame | None = None,
                 stats: DataFrame | None = None) -> DataFrame:
@@ -97,19 +116,39 @@ def bm25_scores(docs: DataFrame, terms: DataFrame, doc_id: str, content: str,
     ``docs`` is every indexed row (statistics count dormant and forgotten rows
     too, because a soft delete leaves the index alone).
     """
-    vocabulary = terms.select("token").distinct()
-    post = index.join(broadcast_if_small(vocabulary), "token", "left_semi") if index is not None else \
-        postings(docs, doc_id, content, tokenizer, vocabulary)
-    st = stats if stats is not None else corpus_stats(docs, content, tokenizer)
-    one = st.select(F.struct("n_docs", "avg_len")).scalar()
-    freq = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # query terms with their document frequency: at most one row per query keyword
-    weighted = terms.select("query_id", "token").distinct().join(freq, "token")
-    scored = post.join(weighted, "token").select(
-        "query_id", doc_id,
-        (idf(F.col("df"), one["n_docs"]) * term_weight(F.col("tf"), F.col("doc_len"), one["avg_len"])).alias("w"),
-    )
-    return scored.groupBy("query_id", doc_id).agg(F.round(F.sum("w"), 6).alias("bm25"))
+    post, weighted, one = _asked_postings(docs, terms, doc_id, content, tokenizer, index, stats)
+    return _bm25_sum(post.join(weighted, "token"), doc_id, one)
+
+
+def _token_heads(post: DataFrame, owned: DataFrame, k: int, by_user: bool) -> DataFrame:
+    """``(token, *owned)``: of each token's atoms (of each user's) the ``k`` of the highest ``score`` and all that tie with the last.
+
+    Whatever orders equal scores, a query's first ``k`` lie among the heads of its tokens:
+    fewer than ``k`` atoms of any of its tokens can score higher.
+    """
+    own = ["token", "user_id"] if by_user else ["token"]
+    ranked = post.select("token", "atom_id").join(owned, "atom_id").withColumn(
+        "_r", F.rank().over(Window.partitionBy(*own).orderBy(F.desc("score"))))
+    return ranked.filter(F.col("_r") <= k).drop("_r")
+
+
+def _important_first(atoms: DataFrame, terms: DataFrame, k: int, weight: float, query_users: DataFrame | None,
+                     tokenizer: text.Tokenizer = text.words, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Mode ``reference`` of :func:`bm25_atoms`, ended early: only heads of tokens meet queries and are scored."""
+    post, weighted, one = _asked_postings(atoms, terms, "atom_id", "content", tokenizer, index, stats)
+    post = cut_lineage(post)
+    weighted = cut_lineage(terms.select("query_id", "token").distinct().join(
+        post.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token"))
+    owned = atoms.filter(F.col("status") == "active").select("atom_id", "user_id", F.round(F.col("importance") * weight, 6).alias("score"))
+    heads = _token_heads(post, owned, k, query_users is not None)
+    cand = heads.join(weighted.select("query_id", "token"), "token").drop("token").distinct()
+    if query_users is not None:
+        cand = cand.join(query_users, ["query_id", "user_id"], "left_semi")
+    # a query's heads again: of the candidates only the first k scores, with ties, can stay
+    cand = cand.withColumn("_r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("_r") <= k).drop("_r", "user_id")
+    matches = cand.join(weighted, "query_id").join(post, ["token", "atom_id"])
+    hits = _bm25_sum(matches, "atom_id", one, "score")
+    return top_n(hits, ["query_id"], [F.desc("score"), F.desc("bm25"), F.asc("atom_id")], k).select("query_id", "atom_id", "rank", "score", "bm25")
 
 
 def bm25_atoms(atoms: DataFrame, terms: DataFrame, k: int, mode: str = "reference",
@@ -122,7 +161,10 @@ def bm25_atoms(atoms: DataFrame, terms: DataFrame, k: int, mode: str = "referenc
     ``mode='reference'`` keeps the observable order of the modelled system, whose
     rank part is always zero (importance, then BM25); ``'normalized'`` divides by
     the best score. ``query_users(query_id, user_id)`` restricts to those users.
+    In the first mode the search ends early, see :func:`_important_first`.
     """
+    if mode == "reference" and pool is None:
+        return _important_first(atoms, terms, k, imp_weight, query_users, **index)
     hits = bm25_scores(atoms, terms, "atom_id", "content", **index)
     live = atoms.filter(F.col("status") == "active").select("atom_id", "user_id", "importance")
     hits = hits.join(live, "atom_id")
@@ -175,13 +217,13 @@ def diary_prefix(diaries: DataFrame, queries: DataFrame, k: int = 5, mode: str =
     q = queries.select("query_id", F.array_distinct(
         text.runs(F.lower("query"))).alias("_t"))
     q = q.filter(F.size("_t") > 0).select("query_id", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
-    runs = text.runs(F.lower("content"))
-    toks = diaries.select("diary_id", runs.alias("_t"))
-    sized = text.let(runs, lambda t: F.transform(t, lambda w: F.struct(F.size(t).alias("doc_len"), w.alias("token"))))
-    post = diaries.select("diary_id", F.inline(sized)) \
-        .groupBy("diary_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    st = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_t")).alias("avg_len"))
-    one = st.select(F.struct("n_docs", "avg_len")).scalar()
+    # the texts are read once: length and token travel together, and the postings tell the lengths
+    sized = text.let(text.runs(F.lower("content")), lambda t: F.transform(t, lambda w: F.struct(F.size(t).alias("doc_len"), w.alias("token"))))
+    post = cut_lineage(diaries.select("diary_id", F.inline(sized)).groupBy("diary_id", "token").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len")))
+    rows, told = diaries.agg(F.count(F.lit(1)), F.count("content")).first()
+    lengths = post.groupBy("diary_id").agg(F.first("doc_len").alias("l")).agg(F.sum("l").alias("l"))
+    one = lengths.select(F.struct(F.lit(rows).alias("n_docs"), (F.col("l") / F.lit(max(told, 1))).alias("avg_len"))).scalar()
     terms = q.select("term").distinct()
     longest = terms.agg(F.coalesce(F.max(F.length("term")), F.lit(1)).alias("n")).select("n").scalar()
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.col("_longest"))),
@@ -234,7 +276,8 @@ def keyword_route(atoms: DataFrame, terms: DataFrame, k: int, query_users: DataF
                   index: DataFrame | None = None, **stats) -> DataFrame:
     """ASCII keywords by the text index, other keywords by containment (+0.3 a hit), blended with importance.
 
-    Every match is scored. ``mode='reference'`` cuts as the modelled system does: the
+    Every match counts; of atoms that only the index finds, those that can be among a
+    query's first ``k`` are scored. ``mode='reference'`` cuts as the modelled system does: the
     ``k`` most important of the best ``3k`` by BM25, and ``k`` rows of any other keyword.
     """
     terms = terms.filter(F.length("token") >= 2).select("query_id", "token").distinct()
@@ -253,9 +296,14 @@ def keyword_route(atoms: DataFrame, terms: DataFrame, k: int, query_users: DataF
             each = like.join(other, "token").join(query_users, ["query_id", "user_id"], "left_semi")
             like = top_n(each, ["query_id", "token", "user_id"], [F.desc("importance"), F.asc("atom_id")], k)
     else:
-        post = postings(atoms, "atom_id", "content", vocabulary=ascii_terms) if index is None else index
-        fts = post.select("atom_id", "token").join(broadcast_if_small(ascii_terms), "token").select("query_id", "atom_id").distinct()
-        like = like.join(other, "token")
+        post = postings(atoms, "atom_id", "content", vocabulary=ascii_terms) if index is None else index.join(
+            broadcast_if_small(ascii_terms.select("token").distinct()), "token", "left_semi")
+        post = cut_lineage(post.select("atom_id", "token"))
+        like = cut_lineage(like.join(other, "token").select("query_id", "token", "atom_id"))
+        # without a hit of the other kind the score is the importance: heads of tokens are enough
+        heads = _token_heads(post, owned.withColumn("score", F.round("importance", 6)), k, query_users is not None)
+        beside = like.select("query_id", "atom_id").distinct().join(ascii_terms, "query_id").join(post, ["token", "atom_id"])
+        fts = heads.join(ascii_terms, "token").select("query_id", "atom_id").unionByName(beside.select("query_id", "atom_id")).distinct()
     both = fts.select("query_id", "atom_id", F.lit(True).alias("_fts"), F.lit(0).alias("_like")).unionByName(
         like.select("query_id", "atom_id", F.lit(False).alias("_fts"), F.lit(1).alias("_like")))
     agg = both.groupBy("query_id", "atom_id").agg(F.bool_or("_fts").alias("_fts"), F.sum("_like").alias("_like")).join(owned, "atom_id")

@@ -97,6 +97,22 @@ def test_set_pairs_match_brute_force(spark):
         assert rows(similarity.set_pairs(df, df, theta, ("user_id",)), "l_id", "r_id") == want
 
 
+def test_set_pairs_with_crowded_tokens(spark, monkeypatch):
+    """Tokens that a third of all sets begin with are dealt out in blocks; lengths from one token to many."""
+    monkeypatch.setattr(similarity, "_SET_BLOCK", 4)
+    rnd = random.Random(7)
+    sets = [(i, sorted({f"hot{rnd.randrange(3)}"} | {f"t{rnd.randrange(9)}" for _ in range(rnd.randrange(0, 12))})) for i in range(90)]
+    sets += [(100 + k, [f"long{j}" for j in range(k, 300 + k)]) for k in range(0, 90, 15)] + [(200, ["alone"]), (201, [])]
+    df = spark.createDataFrame(sets, "id bigint, tokens array<string>")
+    for theta in (0.25, 0.7, 1.0):
+        want = {(a[0], b[0]): len(set(a[1]) & set(b[1])) / len(set(a[1]) | set(b[1])) for a in sets for b in sets if a[0] < b[0] and set(a[1]) | set(b[1])}
+        want = sorted(k for k, j in want.items() if j >= theta)
+        assert rows(similarity.set_pairs(df, df, theta), "l_id", "r_id") == want
+        other = df.filter("id % 2 = 0").select((F.col("id") + 1000).alias("id"), "tokens")
+        both = sorted((a[0], b[0] + 1000) for a in sets for b in sets if b[0] % 2 == 0 and set(a[1]) | set(b[1]) and len(set(a[1]) & set(b[1])) / len(set(a[1]) | set(b[1])) >= theta)
+        assert rows(similarity.set_pairs(df, other, theta), "l_id", "r_id") == both
+
+
 def test_vector_pairs_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(similarity, "_CELL_BLOCK", 7)
     monkeypatch.setattr(similarity, "_PIVOTS", 5)

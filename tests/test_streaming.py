@@ -114,13 +114,32 @@ def test_retention_and_graph_sinks(spark, tmp_path):
     keep(df.filter("msg_id <= 6"), 0)
     keep(df.filter("msg_id > 6"), 1)
     keep(df.filter("msg_id > 6"), 1)  # a replay changes nothing
-    got = spark.read.parquet(str(tmp_path / "m" / "batch=1"))
+    got = upkeep.rows_of(spark, str(tmp_path / "m"), MSG)
     assert got.groupBy("sender_id").count().filter("count > 2").isEmpty() and got.count() == 4
     users = spark.createDataFrame([("u_1", ["Ann"])], "uid string, names array<string>")
     sink = upkeep.graph_sink(str(tmp_path / "g"), users, "2024-02-01 00:00:00")
     sink(spark.createDataFrame([(1, "[[Ann]] [[B]]")], "diary_id bigint, content string"), 0)
     sink(spark.createDataFrame([(2, "[[Ann]] [[B]]")], "diary_id bigint, content string"), 1)
-    e = spark.read.parquet(str(tmp_path / "g" / "edges" / "batch=1"))
+    e = upkeep.rows_of(spark, str(tmp_path / "g" / "edges"), upkeep.EDGE_STATE)
     assert e.filter("relation_type = 'co_occur'").first()["weight"] == 2.0
-    n = {r["node_id"]: r["count"] for r in spark.read.parquet(str(tmp_path / "g" / "nodes" / "batch=1")).collect()}
+    n = {r["node_id"]: r["count"] for r in upkeep.rows_of(spark, str(tmp_path / "g" / "nodes"), upkeep.NODE_STATE).collect()}
     assert n["user:ann"] == 2 and n["diary:diary_2"] == 1
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    """A batch of one sender rewrites one bucket of eight; replays and gaps in the batch ids change nothing."""
+    root = str(tmp_path / "m")
+    rows = [(i, "s", f"u{i % 40}", pd.Timestamp("2024-01-01").to_pydatetime()) for i in range(200)]
+    sink = upkeep.retention_sink(root, MSG, 3, buckets=8)
+    written = lambda batch: len(list((tmp_path / "m" / "data" / f"batch={batch}").glob("bucket=*")))
+    state = lambda: sorted((r["sender_id"], r["msg_id"]) for r in upkeep.rows_of(spark, root, MSG).collect())
+    sink(spark.createDataFrame(rows, MSG), 3)
+    assert written(3) == 8
+    sink(spark.createDataFrame([(500, "s", "u7", rows[0][3]), (501, "s", "u7", rows[0][3])], MSG), 10)
+    once = state()
+    assert written(10) == 1 and [m for u, m in once if u == "u7"] == [167, 500, 501] and len(once) == 120
+    sink(spark.createDataFrame([(500, "s", "u7", rows[0][3]), (501, "s", "u7", rows[0][3])], MSG), 10)
+    assert state() == once
+    assert len(upkeep.superseded(spark, root)) == 1
+    sink(spark.createDataFrame([], MSG), 11)
+    assert state() == once
