@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import check
+from checks.memory import scan_sql
 from checks.store import AWM, activity_watermarks
 from checks.views import NOW, oracle, tables
 from recollect.functions import diary as dia
@@ -204,7 +205,17 @@ def _(s, d):
     return out.atoms.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"))
 
 
-@check("embed_and_scan")
+# the toy model in SQL: CRC-32 bit by bit, lowest bit of each byte first, in eight parts of four bits
+TOY = """SELECT atom_id, list_transform(range(8), lambda i: CAST(((crc >> CAST(4 * i AS INT)) & 15) - 7.5 AS DOUBLE)) AS v FROM (
+ SELECT atom_id, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+   list_filter(regexp_split_to_array(regexp_replace(hex(encode(coalesce(content, ''))), '(..)', '\\1 ', 'g'), ' '), lambda x: x <> ''),
+   lambda x: list_transform(range(8), lambda i: (('0x' || x)::BIGINT >> i) & 1)))),
+   lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) AS crc FROM atoms WHERE status = 'active')"""
+
+
+@check("embed_and_scan", scan_sql("""SELECT status, count(*) AS n, round(sum(importance), 4) AS importance FROM (
+ SELECT CASE WHEN s.status = 'dormant' THEN 'dormant' ELSE a.status END AS status, CASE WHEN wins > 0 THEN least(0.95, importance + 0.05 * wins) ELSE importance END AS importance
+ FROM atoms a LEFT JOIN scan s USING (atom_id)) GROUP BY 1""", 0.92, 0.3, TOY, "a.user_id"))
 def _(s, d):
     out = maintenance.embed_and_scan(small_store(s, d), _toy_vectors, "toy")
     return out.atoms.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 4).alias("importance"))

@@ -245,20 +245,20 @@ def _(s, d):
     return dedup.semantic_new(new, a, 0.05, 0.1)
 
 
-def scan_ctes(threshold: float, jaccard: float, vectors: str) -> dict[str, str]:
-    """The scan of one user's atoms: copies by counting, then turn by turn. ``vectors(atom_id, v)``."""
+def scan_ctes(threshold: float, jaccard: float, vectors: str, owner: str = "'all'") -> dict[str, str]:
+    """The scan of each owner's atoms: copies by counting, then turn by turn. ``vectors(atom_id, v)``."""
     return dict(
         sets=SETS,
-        live=f"""SELECT s.atom_id, s.bag, s.tokens, a.importance, v FROM sets s JOIN atoms a USING (atom_id) JOIN ({vectors}) USING (atom_id)
+        live=f"""SELECT s.atom_id, {owner} AS owner, s.bag, s.tokens, a.importance, v FROM sets s JOIN atoms a USING (atom_id) JOIN ({vectors}) USING (atom_id)
   WHERE a.status = 'active' AND list_dot_product(v, v) >= 1e-20""",
-        copies="SELECT *, min(atom_id) OVER g AS gid, count(*) OVER g AS m, max(importance) OVER g AS top FROM live WINDOW g AS (PARTITION BY list_sort(bag), v)",
+        copies="SELECT *, min(atom_id) OVER g AS gid, count(*) OVER g AS m, max(importance) OVER g AS top FROM live WINDOW g AS (PARTITION BY owner, list_sort(bag), v)",
         tied="SELECT gid, count(*) AS t, min(atom_id) AS first_id, max(atom_id) AS last_id, list(atom_id ORDER BY atom_id)[2] AS second_id FROM copies WHERE m > 1 AND importance = top GROUP BY gid",
         folded="""SELECT atom_id, gid, CASE WHEN atom_id = stays THEN 'active' ELSE 'dormant' END AS status,
    CASE WHEN importance = top AND t >= 2 AND atom_id <> second_id THEN 1 ELSE 0 END + CASE WHEN atom_id = stays THEN m - t ELSE 0 END AS wins
   FROM (SELECT c.*, t, second_id, CASE WHEN t >= 3 THEN last_id ELSE first_id END AS stays FROM copies c JOIN tied USING (gid) WHERE m > 1)""",
         alive="SELECT * FROM live WHERE atom_id NOT IN (SELECT atom_id FROM folded WHERE status = 'dormant')",
         near=f"""SELECT l_id, r_id FROM (SELECT a.atom_id AS l_id, b.atom_id AS r_id, len(a.tokens) AS ln, len(b.tokens) AS rn, len(list_intersect(a.tokens, b.tokens)) AS shared, list_cosine_similarity(a.v, b.v) AS sim
-   FROM alive a JOIN alive b ON a.atom_id <> b.atom_id AND len(a.tokens) >= {jaccard} * len(b.tokens) AND len(b.tokens) >= {jaccard} * len(a.tokens))
+   FROM alive a JOIN alive b ON a.owner = b.owner AND a.atom_id <> b.atom_id AND len(a.tokens) >= {jaccard} * len(b.tokens) AND len(b.tokens) >= {jaccard} * len(a.tokens))
   WHERE shared / (ln + rn - shared) >= {jaccard} AND sim > {threshold}""",
         st=MATCH["st"], post=MATCH["post"], fr=MATCH["fr"],
         scores="""SELECT l_id, r_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS bm25
@@ -276,8 +276,8 @@ def scan_ctes(threshold: float, jaccard: float, vectors: str) -> dict[str, str]:
     )
 
 
-def scan_sql(body: str, threshold: float, jaccard: float, vectors: str) -> str:
-    return oracle(body, "atoms", **scan_ctes(threshold, jaccard, vectors)).replace("WITH ", "WITH RECURSIVE ", 1).replace("game AS MATERIALIZED", "game AS")
+def scan_sql(body: str, threshold: float, jaccard: float, vectors: str, owner: str = "'all'") -> str:
+    return oracle(body, "atoms", **scan_ctes(threshold, jaccard, vectors, owner)).replace("WITH ", "WITH RECURSIVE ", 1).replace("game AS MATERIALIZED", "game AS")
 
 
 STORED = "SELECT atom_id, CAST(embedding AS DOUBLE[]) AS v FROM atoms WHERE embedding IS NOT NULL"
