@@ -98,7 +98,17 @@ def _(s, d):
     return context.render(i["queries"], r, i["atoms"], t, p, NOW)
 
 
-@check("hybrid_search")
+def nested(ctes: dict[str, str], body: str) -> str:
+    """A query with tables of its own, whatever the names outside."""
+    return "(WITH " + ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in ctes.items()) + " " + body + ")"
+
+
+FOUND_DIARIES = nested(PREFIX, "SELECT query_id, diary_id, rank FROM (" + top(
+    "SELECT *, round((CASE WHEN importance = 0 THEN 0.5 ELSE importance END) * 0.6, 6) AS score FROM (SELECT h.*, d.importance FROM hit h JOIN diaries d USING (diary_id))",
+    "query_id", "score DESC, bm25 DESC, diary_id", PREFIX_K) + ")")
+
+
+@check("hybrid_search", oracle(f"SELECT query_id, 'atom' AS kind, atom_id AS id, rank FROM ranked UNION ALL SELECT query_id, 'diary', diary_id, rank FROM {FOUND_DIARIES}", *GS, **recall_ctes(3, 50)))
 def _(s, d):
     (di,) = tables(s, d, "diaries")
     i = recall_inputs(s, d)

@@ -17,7 +17,7 @@ TASK_LINKS = 200_000
 _JUMPS = 2
 
 
-def _least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of ``n`` numbered nodes the least one it is linked with, directly or not."""
     label = np.arange(n)
     while len(a):
@@ -59,7 +59,7 @@ def connected(links: DataFrame) -> DataFrame:
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         code, names = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True))
-        label = _least_labels(code[: len(pdf)], code[len(pdf) :], len(names))
+        label = least_labels(code[: len(pdf)], code[len(pdf) :], len(names))
         return pd.DataFrame({"node": names, "root": names[label]})
 
     roots = edges.groupBy(F.lit(0).alias("_one")).applyInPandas(join, f"node {kind}, root {kind}")  # at most TASK_LINKS rows
