@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -250,26 +251,27 @@ def _tasks(blocks: list[tuple[int, int, int, int]], budget: int) -> list[tuple[i
     return out
 
 
-def trie_links(
-    codes: DataFrame, budget: int = 3, width: int = 64, check_budget: int | None = None, least: float | None = None
-) -> DataFrame:
+def trie_links(codes: DataFrame, budget: int = 3, width: int = 64, check_budget: int | None = None) -> DataFrame:
     """Links (a, b) that join all ``node`` whose codes differ in at most ``budget`` bits, as a spanning forest per task.
 
-    With ``least`` not a forest but every pair comes, a < b, that has two different ``label`` (long) and whose
-    ``size`` (long) allow a Jaccard similarity of ``least``; a pair found in several tables comes once.
-
     ``codes``: table int, code long (its top ``width`` bits count), node long and, if
-    ``check_budget`` is given, check array<long>: a pair is a link only if these differ in
-    at most so many bits too. Pairs are found within one table, exactly and without a cap.
+    ``check_budget`` is given, more long: a pair is a link only if the lower bits of the codes
+    and ``more`` differ in at most so many bits too. Pairs are found within one table, without
+    a cap, and exactly but for nodes of one code: those that pass the check with the first
+    of them are linked to it and take no further part.
 
     Each table's trie is cut at the top into blocks of similar size (histogram of 4,096
     cells a table on the driver); a task walks one block against itself and those of its
     neighbours that the budget allows and that it owns. A block deeper than the histogram
     is cut into hashed slices, so hot prefixes are split as well.
+
+    Defined cases: fewer than two codes give no link; a node that comes twice is linked with
+    itself at most; other columns are not read; nulls are not allowed.
     """
     spark = codes.sparkSession
     cell = F.shiftrightunsigned(F.col("code"), 64 - CELL_BITS).cast("int")
-    codes = cut_lineage(codes.withColumn("_cell", cell))
+    checks = ["more"] if check_budget is not None else []
+    codes = cut_lineage(codes.select("table", "code", "node", *checks, cell.alias("_cell")))
     seen = [(r[0], r[1], r[2]) for r in codes.groupBy("table", "_cell").agg(F.count(F.lit(1))).collect()]
     total = sum(n for _, _, n in seen)
     empty = spark.createDataFrame([], "a bigint, b bigint")
@@ -279,45 +281,49 @@ def trie_links(
     cells = spark.createDataFrame(where, "table int, _cell int, _first int, _slices int")
     tasks = spark.createDataFrame(_tasks(blocks, budget), "_block int, _task int, _own boolean, _self boolean")
     block = (F.col("_first") + F.pmod(F.xxhash64("node"), F.col("_slices"))).cast("int")
-    checks = (["check"] if check_budget is not None else []) + (["label", "size"] if least is not None else [])
     dealt = (
         codes.join(F.broadcast(cells), ["table", "_cell"])  # at most 4,096 rows a table
         .select(block.alias("_block"), "code", "node", *checks)
         .join(F.broadcast(tasks), "_block")  # pairs of blocks
         .drop("_block")
     )
+    low = np.uint64((1 << (64 - width)) - 1)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.iloc[np.argsort(rows["code"].to_numpy().view(np.uint64), kind="stable")]
-        own, code, node = rows["_own"].to_numpy(), rows["code"].to_numpy().view(np.uint64), rows["node"].to_numpy()
-        check = np.stack(rows["check"].to_numpy()).view(np.uint64) if check_budget is not None else None
-        mine, rest = np.flatnonzero(own), np.flatnonzero(~own)
-        label, size = (rows["label"].to_numpy(), rows["size"].to_numpy()) if least is not None else (None, None)
-        found: list[np.ndarray] = []
+        order = np.lexsort([rows["node"].to_numpy(), rows["code"].to_numpy().view(np.uint64)])
+        own, alone = rows["_own"].to_numpy()[order], bool(rows["_self"].any())
+        code, node = rows["code"].to_numpy().view(np.uint64)[order], rows["node"].to_numpy()[order]
+        more = rows["more"].to_numpy().view(np.uint64)[order] if check_budget is not None else None
         forest = _Forest(len(rows))
-        runs = [(mine, mine, True)] if rows["_self"].any() else []
+
+        def passes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            return np.bitwise_count((code[u] ^ code[v]) & low).astype(np.int64) + np.bitwise_count(more[u] ^ more[v]) <= check_budget
+
+        def leaders(rows: np.ndarray, link: bool) -> np.ndarray:
+            top = code[rows] >> np.uint64(64 - width)
+            first = np.concatenate([[True], top[1:] != top[:-1]])
+            lead = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+            follows = ~first & passes(rows, lead)
+            if link:
+                forest.add(rows[follows], lead[follows])
+            return rows[~follows]
+
+        mine, rest = np.flatnonzero(own), np.flatnonzero(~own)
+        if more is not None and width < 64:
+            mine, rest = leaders(mine, alone) if len(mine) else mine, leaders(rest, False) if len(rest) else rest
+        runs = [(mine, mine, True)] if alone else []
         runs += [(mine, rest, False)] if len(rest) else []
         for left, right, same in runs:
             for i, j in _walk(code[left], code[right], same, budget, width):
                 u, v = left[i], right[j]
-                if least is not None:
-                    ok = (label[u] != label[v]) & (np.minimum(size[u], size[v]) >= least * np.maximum(size[u], size[v]))
+                if more is not None:
+                    ok = passes(u, v)
                     u, v = u[ok], v[ok]
-                if check is not None:
-                    ok = np.bitwise_count(check[u] ^ check[v]).sum(axis=1) <= check_budget
-                    u, v = u[ok], v[ok]
-                if least is None:
-                    forest.add(u, v)
-                elif len(u):
-                    found.append(np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])]))
-        if least is not None:
-            a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            return pd.DataFrame({"a": a, "b": b})
-        away = np.flatnonzero(forest.label != np.arange(len(rows)))
+                forest.add(u, v)
+        away = np.flatnonzero(forest.label != np.arange(len(code)))
         return pd.DataFrame({"a": node[away], "b": node[forest.label[away]]})
 
-    links = dealt.groupBy("_task").applyInPandas(walk, "a bigint, b bigint")
-    return links if least is None else links.distinct()
+    return dealt.groupBy("_task").applyInPandas(walk, "a bigint, b bigint")
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -350,17 +356,27 @@ def fingerprint_components(docs: DataFrame, ngram: int = 3, budget: int = 3, key
 
 
 # Near-duplicates of 0.8 Jaccard on shingles have a cosine of 0.89, and so a SimHash bit
-# differs with probability 0.15. Sixteen tables of 32 bits with 3 errors find such a pair
-# with 0.99; of all 512 bits 104 may differ, which 0.999 of such pairs keep. What is found
-# is a candidate only: LEAST is decided on the whole sets of shingles.
-TABLES, TABLE_BITS, TABLE_BUDGET, CHECK_BUDGET, LEAST = 16, 32, 3, 104, 0.8
-# Families of close copies are joined first, so that their pairs need not all be compared.
-CLOSE_TABLES, CLOSE_BUDGET = 4, 56
-# A node with more than this share of the pairs (and at least HUB pairs) gets its set by broadcast.
-HUB_SHARE, HUB = 1 / 100, 64
+# differs with this probability. MISSED: share of such pairs that no table may find.
+LEAST, DIFFER, MISSED = 0.8, 0.1514, 0.006
+TABLE_BUDGET = 3
+# Shingles of the documents, and documents, that one task compares.
+TASK_SHINGLES, TASK_NODES = 2_000_000, 4_000
+
 
+def _tables(documents: int) -> tuple[int, int, int]:
+    """(tables, bits of a code, differing bits of the rest allowed) for so many documents.
 
-def _marked(docs: DataFrame, ngram: int) -> DataFrame:
+    A code gets a bit more when the documents double, so that the pairs that chance brings
+    together stay in proportion to them; then it takes more tables to miss as few pairs.
+    """
+    width = min(64, max(32, math.ceil(math.log2(max(documents, 1))) + 14))
+    found = sum(math.comb(width, k) * DIFFER**k * (1 - DIFFER) ** (width - k) for k in range(TABLE_BUDGET + 1))
+    tables = math.ceil(math.log(MISSED) / math.log(1 - found))
+    rest = 128 - width
+    return tables + tables % 2, width, math.ceil(rest * DIFFER + 3.3 * math.sqrt(rest * DIFFER * (1 - DIFFER)))
+
+
+def _marked(docs: DataFrame, ngram: int, words: int) -> DataFrame:
     """(_key, _th, _node, _size, _sig): the node is a hash of the text's set of shingles, so texts of one set are one node."""
 
     @F.pandas_udf("struct<node:bigint,size:bigint,sig:array<bigint>>")
@@ -370,7 +386,7 @@ def _marked(docs: DataFrame, ngram: int) -> DataFrame:
             for t in b:
                 h = shingle_set(t, ngram)
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0]
-                rows.append((node, len(h), _majority([h], TABLES * TABLE_BITS // 64)))
+                rows.append((node, len(h), _majority([h], words)))
             yield pd.DataFrame(rows, columns=["node", "size", "sig"])
 
     # called non-deterministic so that taking its fields apart does not run it three times
@@ -378,70 +394,127 @@ def _marked(docs: DataFrame, ngram: int) -> DataFrame:
     return made.select("_key", "_th", F.col("_m.node").alias("_node"), F.col("_m.size").alias("_size"), F.col("_m.sig").alias("_sig"))
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str, total: int) -> DataFrame:
-    """``pairs`` with the set of the node ``side``; sets of hubs (fewer than 100) go by broadcast."""
-    hubs = pairs.groupBy(side).count().where(F.col("count") > max(total * HUB_SHARE, HUB)).select(F.col(side).alias("_node"))
-    hubs = cut_lineage(hubs)
-    found = sets.select("_node", F.col("_set").alias(f"_{side}"))
-    hot = found.join(F.broadcast(hubs), "_node").withColumnRenamed("_node", side)
-    cold = found.join(F.broadcast(hubs), "_node", "left_anti").withColumnRenamed("_node", side)
-    usual = pairs.join(F.broadcast(hubs.withColumnRenamed("_node", side)), side, "left_anti")
-    return pairs.join(F.broadcast(hot), side).unionByName(usual.join(cold, side))
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets of shingles have a Jaccard similarity of at least LEAST."""
-    total = pairs.count()
-    ends = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
-    need = broadcast_if_small(cut_lineage(nodes.join(ends, "_node").select("_node", "_th")))
+def similar_sets(node: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join exactly the nodes joined by pairs with a Jaccard similarity of ``least`` or more.
 
-    @F.pandas_udf("array<bigint>")
+    ``sets``: sorted arrays of different values. Sets meet on the rarest ``1 - least`` of their
+    values, the smaller ones first; a pair is compared only while nothing joins it yet.
+    """
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    sets, size, node = [sets[i] for i in order], size[order], node[order]
+    if len(sets) < 2:
+        return []
+    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    head = (size - np.ceil(least * size - 1e-9) + 1).astype(np.int64)
+    ends = np.cumsum(size)
+    heads = []
+    for end, n, k in zip(ends.tolist(), size.tolist(), head.tolist()):
+        v = value[end - n : end]
+        v = v[np.argsort(rank[v], kind="stable")[:k]] if k < n else v
+        heads.append(v[often[v] > 1])
+    room = np.bincount(np.concatenate(heads), minlength=len(often))
+    start, used = np.cumsum(room) - room, np.zeros(len(often), np.int64)
+    met = np.zeros(int(room.sum()), np.int64)  # by value: the sets so far that have it in their head
+    label, links = np.arange(len(sets)), []
+    for i, v in enumerate(heads):
+        n = used[v]
+        if n.any():
+            j = met[np.repeat(start[v] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            j = np.unique(j[(label[j] != label[i]) & (size[j] >= least * size[i] - 1e-9)])
+            take = 1
+            while len(j):  # a few of each component first: one that is near enough speaks for all
+                by = np.argsort(label[j], kind="stable")
+                of = label[j][by]
+                first = np.concatenate([[True], of[1:] != of[:-1]])
+                place = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
+                now = j[by[place < take]]
+                both = np.concatenate([sets[x] for x in now])
+                at = np.minimum(np.searchsorted(sets[i], both), size[i] - 1)
+                shared = np.add.reduceat((sets[i][at] == both).astype(np.int64), np.cumsum(size[now]) - size[now])
+                for x in now[shared >= least * (size[now] + size[i] - shared) - 1e-9]:
+                    if label[x] != label[i]:
+                        links.append((int(node[i]), int(node[x])))
+                        label[label == label[x]] = label[i]
+                j = np.setdiff1d(j, now)
+                j, take = j[label[j] != label[i]], take * 4
+        met[start[v] + n] = i
+        used[v] += 1
+    return links
+
+
+def _verified(forest: DataFrame, nodes: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
+    """Links (a, b) between nodes of one component of ``forest`` whose sets have a Jaccard similarity of LEAST or more.
+
+    Small components are dealt to tasks together; one that is too large for a task is cut into
+    hashed blocks, of which each pair meets in one task. Every text is read once for this and
+    its set is sent once for each pair of blocks it is in, not for each candidate.
+    """
+    near = nodes.join(components(forest).withColumnRenamed("node", "_node"), "_node").select("_node", "_first", "_size", "root")
+    near = cut_lineage(near)
+    total = near.agg(F.sum("_size"), F.count(F.lit(1))).first()
+    if not total[1]:
+        return forest.limit(0)
+    tasks = max(1, 4 * max(total[0] // TASK_SHINGLES, total[1] // TASK_NODES))
+    sums = near.groupBy("root").agg(F.sum("_size").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    large = sums.where((F.col("_s") > TASK_SHINGLES) | (F.col("_n") > TASK_NODES)).select(
+        "root", F.ceil(F.greatest(2 * F.col("_s") / TASK_SHINGLES, 2 * F.col("_n") / TASK_NODES)).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("_node", "root"), F.col("_blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1),
+                         lambda o: F.xxhash64("root", F.least(o, F.col("_own")), F.greatest(o, F.col("_own"))))
+    dealt = near.join(F.broadcast(large), "root", "left").withColumn("_own", own).select(  # fewer than total / TASK_SHINGLES rows
+        "_node", F.col("_first.k").alias("_key"), F.col("_first.h").alias("_th"),
+        F.when(F.col("_blocks").isNull(), F.array(F.pmod(F.xxhash64("root"), F.lit(tasks)))).otherwise(others).alias("_tasks"))
+    dealt = broadcast_if_small(cut_lineage(dealt))
+
+    @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([shingle_set(t, ngram).view(np.int64) for t in b])
+            yield pd.Series([shingle_set(t, ngram).tobytes() for t in b])
+
+    texts = docs.withColumn("_h", F.xxhash64("_text")).alias("d").join(
+        dealt.alias("n"), F.col("d._key").eqNullSafe(F.col("n._key")) & (F.col("_h") == F.col("_th"))).select("_node", "_tasks", "_text")
+    sets = bounded(texts).select("_node", "_tasks", run("_text").alias("_set")).select("_node", F.explode("_tasks").alias("_task"), "_set")
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("_node")
+        links = similar_sets(rows["_node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["_set"]], LEAST)
+        return pd.DataFrame(links, columns=["a", "b"])
 
-    texts = docs.select(F.xxhash64("_text").alias("_th"), "_text").join(need, "_th").dropDuplicates(["_node"])
-    sets = cut_lineage(bounded(texts).select("_node", run("_text").alias("_set")))
-    both = _with_set(_with_set(pairs, sets, "a", total), sets, "b", total)
-    common = F.size(F.array_intersect("_a", "_b"))
-    return both.where(common >= LEAST * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+    return sets.groupBy("_task").applyInPandas(join, "a bigint, b bigint")
 
 
 def _near(docs: DataFrame, ngram: int, key: str, text: str) -> DataFrame:
     """(_key, _th, _root, component_id) for every row; _th is a hash of the text."""
     slim = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    signed = cut_lineage(_marked(slim, ngram))
+    tables, width, check = _tables(slim.count())
+    words = tables // 2 if width == 32 else tables
+    signed = cut_lineage(_marked(slim, ngram, words))
+    first = F.struct(F.col("_key").isNull().alias("no"), F.col("_key").alias("k"), F.col("_th").alias("h"))
     nodes = cut_lineage(signed.groupBy("_node").agg(
-        F.min("_key").alias("_least"), F.first("_th").alias("_th"), F.first("_size").alias("_size"), F.first("_sig").alias("_sig")))
+        F.min("_key").alias("_least"), F.min(first).alias("_first"), F.first("_size").alias("_size"), F.first("_sig").alias("_sig")))
 
     def code(t: int) -> Column:
-        word = F.element_at("_sig", t // 2 + 1)
-        return F.shiftleft(word, 32) if t % 2 else word
-
-    def codes(of: DataFrame, tables: int, *more: str) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(t).alias("table"), code(t).alias("code")) for t in range(tables)])
-        return of.select(F.inline(each), F.col("_sig").alias("check"), F.col("_node").alias("node"), *more)
-
-    # close copies: a star for each signature, a forest between signatures
-    firsts = cut_lineage(nodes.groupBy(F.xxhash64("_sig").alias("_s")).agg(F.min("_node").alias("_node"), F.first("_sig").alias("_sig")))
-    stars = nodes.join(firsts.select("_s", F.col("_node").alias("b")), F.xxhash64("_sig") == F.col("_s")).where("_node <> b")
-    forest = trie_links(codes(firsts, CLOSE_TABLES), TABLE_BUDGET, TABLE_BITS, CLOSE_BUDGET)
-    close = cut_lineage(stars.select(F.col("_node").alias("a"), "b").union(forest).distinct())
-    links = cut_lineage(_similar(close, nodes, slim, ngram))
-    # all candidates that these have not joined yet
-    label = components(links).withColumnRenamed("node", "_node")
-    labelled = nodes.join(label, "_node", "left").select("*", F.coalesce("root", "_node").alias("label"), F.col("_size").alias("size"))
-    pairs = cut_lineage(trie_links(codes(labelled, TABLES, "label", "size"), TABLE_BUDGET, TABLE_BITS, CHECK_BUDGET, LEAST))
-    links = cut_lineage(links.union(_similar(pairs, nodes, slim, ngram)))
+        """Both halves of a word are codes if a half is wide enough."""
+        word = F.element_at("_sig", t % words + 1)
+        turned = F.shiftleft(word, 32).bitwiseOR(F.shiftrightunsigned(word, 32))
+        return F.struct(F.lit(t).alias("table"), (turned if t >= words else word).alias("code"), F.element_at("_sig", (t + 1) % words + 1).alias("more"))
+
+    codes = nodes.select(F.inline(F.array(*[code(t) for t in range(tables)])), F.col("_node").alias("node"))
+    forest = cut_lineage(trie_links(codes, TABLE_BUDGET, width, check).distinct())
+    links = cut_lineage(_verified(forest, nodes, slim, ngram))
     return signed.select("_key", "_th", "_node").join(_rooted(nodes.select("_node", "_least"), links), "_node").drop("_node")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id): groups of documents linked by a Jaccard similarity of shingle sets of at least 0.8.
 
-    Candidates come from signatures of 512 bits; each half of a 64-bit word is a table of its
-    own, joined by the trie walk with 3 errors. Every link is verified on the whole sets of
-    shingles (as 64-bit hashes). Cases as in :func:`fingerprint_components`; documents without
+    Candidates come from signatures of 512 bits or more; each half of a 64-bit word is a table of
+    its own (each word, from 262,145 documents on), joined by the trie walk with 3 errors.
+    Every link is verified on the whole sets of shingles (as 64-bit hashes). Cases as in :func:`fingerprint_components`; documents without
     words form one group.
     """
     return _near(docs, ngram, key, text).select(F.col("_key").alias(key), "component_id")

@@ -54,4 +54,4 @@ def test_stages_take_odd_rows_clashing_columns_and_empty_tables(spark, tmp_path)
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= set(names)
-    assert sum(n.startswith("op") for n in names) == 10
+    assert sum(n.startswith("op") for n in names) == 13

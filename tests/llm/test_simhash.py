@@ -203,3 +203,57 @@ def test_only_verified_pairs_are_linked(spark):
     near = sum(got[i + 1] == got[i] == i for i in range(120, 320, 2))
     print("pairs found of 100:", near, "at Jaccard", round(jaccard(*texts[-2:]), 3))
     assert near >= 96
+
+
+def test_similar_sets_against_all_pairs():
+    rng = random.Random(41)
+    for least in (0.8, 0.5):
+        sets = []
+        for _ in range(25):
+            base = rng.sample(range(4_000), rng.randrange(1, 60))
+            for _ in range(rng.randrange(1, 8)):
+                some = set(base) - set(rng.sample(base, rng.randrange(0, max(1, len(base) // 5))))
+                sets.append(np.array(sorted(some | set(rng.sample(range(4_000), rng.randrange(0, 4)))), np.uint64))
+        sets.append(np.zeros(0, np.uint64))
+        node = np.array(rng.sample(range(10_000), len(sets)))
+        want = list(range(len(sets)))
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared and shared >= least * (len(sets[i]) + len(sets[j]) - shared):
+                want = [want[i] if x == want[j] else x for x in want]
+        got = {int(x): int(x) for x in node}
+        links = simhash.similar_sets(node, sets, least)
+        for a, b in links:
+            got = {k: got[a] if v == got[b] else v for k, v in got.items()}
+        groups = lambda labels: sorted(sorted(int(node[i]) for i in range(len(sets)) if labels[i] == x) for x in set(labels))
+        assert groups([got[int(x)] for x in node]) == groups(want)
+        assert len(links) == len(sets) - len(set(want))  # a forest
+
+
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+    """One family, found whole though no task holds it, beside another whose pairs are all just below."""
+    monkeypatch.setattr(simhash, "TASK_NODES", 10)
+    rng = random.Random(43)
+    base = words(rng, 300)
+    close = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in range(0, 300, 6)]
+    core = words(rng, 334)
+    apart = [" ".join(core + words(rng, 66)) for _ in range(40)]
+    assert jaccard(close[0], close[9]) >= 0.8 > jaccard(*apart[:2]) > 0.68
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(close + apart)], DOCS)
+    got = dict(simhash.near_duplicates(docs).collect())
+    assert {got[i] for i in range(len(close))} == {0}
+    assert all(got[i] == i for i in range(len(close), len(close) + 40))
+
+
+def test_wider_codes_for_more_documents():
+    assert simhash._tables(200_000)[:2] == (18, 32) or simhash._tables(200_000)[1] == 32
+    wide = simhash._tables(10**9)
+    assert wide[1] == 44 and wide[0] > simhash._tables(10**6)[0]
+
+
+def test_codes_turned_by_half_and_one_code_for_many(spark, monkeypatch):
+    """Nodes of one code are linked through the first; the check keeps others apart."""
+    rows = [(0, 5 << 40, k, 0) for k in range(30)] + [(0, 5 << 40, 99, -1)]
+    links = simhash.trie_links(spark.createDataFrame(rows, "table int, code bigint, node bigint, more bigint"), 3, 32, 20)
+    got = {r["node"]: r["root"] for r in components(links).collect()}
+    assert got == dict.fromkeys(range(30), 0)
