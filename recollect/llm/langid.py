@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.batches import bounded
+from recollect.session import broadcast_if_small
 
 STEPS = 64  # bytes of one stretch; the network starts afresh at each
 HIDDEN = 8
 BLOCK = 2048  # stretches that run side by side
+SPARE = 1.3  # times the rows of a sample that are ranked for it
 
 
 @dataclass
@@ -172,12 +174,24 @@ def predict(net: Network, texts: list[str]) -> np.ndarray:
 
 def training_sample(docs: DataFrame, per_lang: int = 600, chars: int = 384, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], list[str]]:
     """At most ``per_lang`` labelled rows of each language, least seeded hash first, and of each row the two
-    stretches of ``chars`` characters at its beginning and at a hashed place: the bound of what reaches the driver."""
+    stretches of ``chars`` characters at its beginning and at a hashed place: the bound of what reaches the driver.
+
+    The number of a language's rows tells below which hash about ``SPARE`` times as many lie;
+    only these few are ranked, so a language that most rows have costs no more than another.
+
+    Defined cases: rows without language, without text or without a letter take no part;
+    rows that agree in key, length and stretches count once; ties of the hash go by the
+    stretches; an empty table gives two empty lists.
+    """
     able = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     h = F.xxhash64(F.lit(11), F.col(key), F.length(text))
+    sizes = able.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(SPARE * per_lang + 100) / F.col("_n"))
+    edges = sizes.select("_l", (F.lit(-(2.0**63)) + share * F.lit(2.0**64)).alias("_edge"))
     place = F.pmod(h, F.greatest(F.length(text) - chars, F.lit(1))).cast("int") + 1
     slim = able.select(F.col(lang).alias("_l"), h.alias("_h"), F.substring(F.col(text), 1, chars).alias("_a"), F.substr(F.col(text), place, F.lit(chars)).alias("_b"))
-    top = slim.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_a", "_b"))).where(F.col("_r") <= per_lang)
+    few = slim.join(broadcast_if_small(edges), "_l").where(F.col("_h") <= F.col("_edge")).drop("_edge").distinct()
+    top = few.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_a", "_b"))).where(F.col("_r") <= per_lang)
     got = sorted((r["_l"], r["_r"], r["_a"], r["_b"]) for r in top.collect())
     texts, langs = [], []
     for l, _, a, b in got:

@@ -70,3 +70,51 @@ def test_nothing_to_learn_from(spark):
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
     got = langid.identify(docs, docs.where("lang = 'de'")).collect()
     assert {r["lang_pred"] for r in got} == {"de", "und"}
+
+
+def test_prediction_against_a_plain_forward_pass():
+    """Position by position in plain Python, both ways, stretch by stretch."""
+    import math
+
+    rng = np.random.default_rng(4)
+    h, langs = 4, ["a", "b", "c"]
+    net = langid.Network(
+        langs, [(rng.normal(0, 0.5, (256, 3 * h)).astype(np.float32), rng.normal(0, 0.5, (h, 3 * h)).astype(np.float32)) for _ in range(2)],
+        rng.normal(0, 0.5, (2 * h, 3)).astype(np.float32), rng.normal(0, 0.5, 3).astype(np.float32))
+
+    def states(table, rec, data):
+        state, out = [0.0] * h, []
+        for x in data:
+            u = [sum(state[i] * float(rec[i][j]) for i in range(h)) for j in range(3 * h)]
+            sig = lambda v: 1 / (1 + math.exp(-v))
+            r = [sig(float(table[x][j]) + u[j]) for j in range(h)]
+            z = [sig(float(table[x][h + j]) + u[h + j]) for j in range(h)]
+            new = [math.tanh(float(table[x][2 * h + j]) + r[j] * u[2 * h + j]) for j in range(h)]
+            state = [(1 - z[j]) * new[j] + z[j] * state[j] for j in range(h)]
+            out.append(state)
+        return out
+
+    texts = ["plain words", "ß漢字 " * 30, "x" * 64, "y" * 65]
+    got = langid.predict(net, texts)
+    for k, t in enumerate(texts):
+        data, total = t.encode(), [0.0] * 3
+        for a in range(0, len(data), langid.STEPS):
+            part = data[a : a + langid.STEPS].ljust(langid.STEPS, b"\0")
+            forth, back = states(*net.dirs[0], part), states(*net.dirs[1], part[::-1])[::-1]
+            for i, x in enumerate(part):
+                if x:
+                    both = forth[i] + back[i]
+                    logit = [sum(both[j] * float(net.out[j][c]) for j in range(2 * h)) + float(net.bias[c]) for c in range(3)]
+                    e = [math.exp(v) for v in logit]
+                    total = [s + v / sum(e) for s, v in zip(total, e)]
+        assert np.allclose(got[k], np.array(total) / sum(total), atol=1e-4)
+
+
+def test_sample_of_a_language_that_most_rows_have(spark):
+    rows = [(i, f"text number {i} of many words", "en") for i in range(4_000)] + [(5_000 + i, f"und noch {i}", "de") for i in range(30)]
+    rows += [(9_000, "same", "fr")] * 50 + [(None, "no number", "fr"), (9_001, None, "fr"), (9_002, "123", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    texts, langs = langid.training_sample(docs, per_lang=100)
+    assert {x: langs.count(x) for x in set(langs)} == {"en": 200, "de": 60, "fr": 4}
+    assert langid.training_sample(docs, per_lang=100) == (texts, langs)
+    assert langid.training_sample(docs.limit(0)) == ([], [])
