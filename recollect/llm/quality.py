@@ -13,6 +13,10 @@ BOILERPLATE = (
     "all rights reserved", "cookie", "javascript", "terms of use", "terms of service", "privacy policy",
     "lorem ipsum", "subscribe to our newsletter", "licensed under", "released under the",
 )
+# Fixed values. Marks that end a sentence or a quotation, in all scripts; besides these closing brackets and quotes of any kind.
+END_MARKS = ".!?\u2026:;\"'\u2018\u201a\u201c\u201e\u00ab\u2039\u203d\u2047\u2048\u2049\u3002\uff01\uff0e\uff1f\uff1a\uff1b\uff61\u061f\u06d4\u061b\u0964\u0965\u0589\u055c\u055e\u1362\u1367\u1368\u104a\u104b\u17d4\u17d5\u0e2f\u0e5a\u0df4\u1803\u1809"
+# A line this long is running text whatever its last character; a row of fields this short is a menu or a table.
+LONG_LINE, FIELD = 200, 25
 # Most of a document's text that bad lines may hold.
 LOST = 0.5
 
@@ -67,16 +71,24 @@ def repeat_words(w: Column) -> Column:
 
 
 def _bad_line(line: Column) -> Column:
-    """A line that is not running text: no end mark, a menu or table row, symbols, shouting, boilerplate."""
+    """A line that is not running text: no end mark, a menu or table row, symbols, shouting, boilerplate.
+
+    Only a line under ``LONG_LINE`` characters fails for its last one. Rows are told by three
+    or more separators (``|``, ``›``, ``•``, or ``»`` and ``·`` between blanks) with fewer than
+    ``FIELD`` characters to a field, so quotations and dots inside words in prose are none.
+    """
 
     def bad(body: Column) -> Column:
         chars = F.length(body)
-        fields = chars - F.length(F.translate(body, "|»›•·", ""))
+        spaced = sum((chars - F.length(F.replace(body, F.lit(f" {x} "), F.lit("")))) / 3 for x in "»·")
+        fields = chars - F.length(F.translate(body, "|›•", "")) + spaced
+        row = (fields >= 3) & (chars < FIELD * (fields + 1))
         symbols = chars - F.length(F.translate(body, SYMBOLS, ""))
         shouted = (F.upper(body) == body) & (F.lower(body) != body) & (chars >= 20)
-        unended = ~F.substring(body, -1, 1).isin(*".!?…:;。！？\"'”’)")
-        plate = (chars < 200) & F.lower(body).rlike("|".join(BOILERPLATE))
-        return unended | (fields >= 3) | (symbols * 20 > chars) | shouted | plate
+        last = F.substring(body, -1, 1)
+        unended = (chars < LONG_LINE) & ~(last.isin(*END_MARKS) | last.rlike(r"[\p{Pe}\p{Pf}]"))
+        plate = (chars < LONG_LINE) & F.lower(body).rlike("|".join(BOILERPLATE))
+        return unended | row | (symbols * 20 > chars) | shouted | plate
 
     return _let(F.rtrim(F.translate(line, "\t\x0b\x0c\r", "    ")), bad)
 

@@ -165,11 +165,13 @@ v AS (SELECT k, word, greatest(again, lag(again, 1, 0) OVER (PARTITION BY k ORDE
 counts AS (SELECT k, count(*) AS n_words, sum(length(word)) AS word_chars, sum(hit) AS n_repeat_words FROM v GROUP BY k),
 lines AS (SELECT k, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
 each AS (SELECT k, unnest(list_distinct(l)) AS line FROM lines),
-bodies AS (SELECT k, line, rtrim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS body FROM each),
+bodies AS (
+ SELECT *, length(regexp_replace(body, '[^|›•]', '', 'g')) + (length(body) - length(replace(body, ' » ', ''))) / 3.0 + (length(body) - length(replace(body, ' · ', ''))) / 3.0 AS fields
+ FROM (SELECT k, line, rtrim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS body FROM each)),
 good AS (
  SELECT k, sum(length(line)) AS kept_chars FROM bodies
- WHERE right(body, 1) IN ('.', '!', '?', '…', ':', ';', '。', '！', '？', '"', '''', '”', '’', ')')
-  AND length(regexp_replace(body, '[^|»›•·]', '', 'g')) < 3
+ WHERE (length(body) >= 200 OR contains('.!?…:;"''‘‚“„«‹‽⁇⁈⁉。！．？：；｡؟۔؛।॥։՜՞።፧፨၊။។៕ฯ๚෴᠃᠉', right(body, 1)) OR regexp_matches(right(body, 1), '[\\p{Pe}\\p{Pf}]'))
+  AND NOT (fields >= 3 AND length(body) < 25 * (fields + 1))
   AND length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) * 20 <= length(body)
   AND NOT (upper(body) = body AND lower(body) <> body AND length(body) >= 20)
   AND NOT (length(body) < 200 AND regexp_matches(lower(body), 'all rights reserved|cookie|javascript|terms of use|terms of service|privacy policy|lorem ipsum|subscribe to our newsletter|licensed under|released under the'))

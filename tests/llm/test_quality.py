@@ -67,3 +67,23 @@ def test_odd_rows(spark):
     for r in got:
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == plain(r["text"])
     assert quality.quality(docs.limit(0)).count() == 0
+
+
+def test_clean_prose_of_all_scripts_is_kept(spark):
+    """End marks of other scripts, quotations, dots inside words, and long lines without a mark."""
+    rng = random.Random(9)
+    words = lambda n, size=8: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, size))) for _ in range(n))
+    body = words(185)
+    quoted = body.split()
+    for k in (20, 60, 100):
+        quoted[k] = "« " + quoted[k] + " »"
+    dotted = body.split()
+    for k in (10, 50, 90, 120):
+        dotted[k] = "il·lusió"
+    short = lambda mark: "\n".join(words(12) + mark for _ in range(8))
+    texts = [body + "“", body + " »", body + "।", body + "؟", " ".join(quoted) + ".", " ".join(dotted) + ".", body,
+             *[short(m) for m in ("“", " »", "।", "؟", "۔", "」", "！", "។", "]")]]
+    bad = [short(""), short(","), "\n".join(["Home · News · Sport · Weather."] * 1 + [f"{words(2)} » {words(2)} » {words(2)} » {words(2)}." for _ in range(12)])]
+    df = spark.createDataFrame(list(enumerate(texts + bad)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(df).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(texts) + [False] * len(bad)
