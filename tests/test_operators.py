@@ -439,3 +439,30 @@ def test_vector_blocks_equal_one_block(spark, monkeypatch):
     monkeypatch.setattr(search, "_VECTOR_BLOCK", 3)
     monkeypatch.setattr(search, "_VECTOR_SLICE", 7)
     assert run() == one and one
+
+
+def test_set_pairs_check_vectors_inside_the_tasks(spark, monkeypatch):
+    """Ids of two types, blocks whose hashed parts can be empty, cosines above a number."""
+    monkeypatch.setattr(similarity, "_SET_BLOCK", 3)
+    rnd = random.Random(3)
+    sets = [(i, sorted({f"t{rnd.randrange(6)}" for _ in range(3)}), [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(30)]
+    df = spark.createDataFrame(sets, "id bigint, tokens array<string>, v array<double>")
+    other = df.select(F.concat(F.lit("n"), "id").alias("id"), "tokens", "v")
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    want = sorted((a[0], f"n{b[0]}") for a in sets for b in sets if len(set(a[1]) & set(b[1])) / len(set(a[1]) | set(b[1])) >= 0.5 and cos(a[2], b[2]) > 0.2)
+    assert rows(similarity.set_pairs(df, other, 0.5, vectors=("v", 0.2)), "l_id", "r_id") == want
+
+
+def test_vector_pairs_in_plain_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_VISITS", -1)
+    monkeypatch.setattr(similarity, "_PLAIN_BLOCK", 20_000)
+    rnd = random.Random(4)
+    vecs = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(vecs, "id bigint, embedding array<double>")
+    x = np.array([v for _, v in vecs])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = sorted((i, j) for i in range(60) for j in range(i + 1, 60) if x[i] @ x[j] >= 0.5)
+    assert rows(similarity.vector_pairs(df, 0.5), "l_id", "r_id") == want
