@@ -65,3 +65,21 @@ def test_ranks_in_slices(spark):
     for q in ("q0", "q1"):
         order = sorted((b, i) for i, k, b in rows if k == q)
         assert [got[q, i] for _, i in order] == list(range(1, len(order) + 1))
+
+
+def test_prefix_search_keeps_no_postings_of_all_texts(spark, monkeypatch):
+    """Only terms and the diaries that hold a query's rarest term are kept, however long the texts are."""
+    kept = []
+    real = search.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "cut_lineage", counted)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(50)) + (" needle stack" if i == 3 else " stack"), 0.5) for i in range(20)]
+    diaries = spark.createDataFrame(texts, "diary_id bigint, content string, importance double")
+    queries = spark.createDataFrame([(1, "need sta")], "query_id bigint, query string")
+    assert [(r["query_id"], r["diary_id"]) for r in search.diary_prefix(diaries, queries).collect()] == [(1, 3)]
+    assert max(kept) <= 2
