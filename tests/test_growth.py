@@ -34,3 +34,12 @@ def test_first_rows_are_cut_by_the_executors(spark, monkeypatch):
     monkeypatch.setattr(session, "cut_lineage", lambda df, was=session.cut_lineage: asked.append(1) or was(df))
     df = spark.range(1000, numPartitions=8).orderBy(F.desc("id")).limit(5)
     assert [r[0] for r in session.first_rows(df)] == [999, 998, 997, 996, 995] and asked
+
+
+def test_plain_blocks_grow_with_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_VISITS", -1)
+    monkeypatch.setattr(similarity, "_PLAIN_BLOCK", 5)
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(400)], "id bigint, embedding array<double>")
+    sent = similarity._dealt(df, 0.8).applyInPandas(lambda pdf: pdf[["id"]].head(0).assign(n=0) if pdf.empty else pdf[["id"]].assign(n=1), "id bigint, n bigint")
+    assert sent.count() <= 400 * 2 * similarity._PLAIN_BLOCKS
