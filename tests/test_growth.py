@@ -43,3 +43,11 @@ def test_plain_blocks_grow_with_the_vectors(spark, monkeypatch):
     df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(400)], "id bigint, embedding array<double>")
     sent = similarity._dealt(df, 0.8).applyInPandas(lambda pdf: pdf[["id"]].head(0).assign(n=0) if pdf.empty else pdf[["id"]].assign(n=1), "id bigint, n bigint")
     assert sent.count() <= 400 * 2 * similarity._PLAIN_BLOCKS
+
+
+def test_a_node_of_all_diaries_is_no_shuffle_key(spark, no_auto_broadcast):
+    mentions = spark.createDataFrame([("a", d) for d in range(1, 50)] + [("b", 1), ("b", 1), ("c", 2), ("a", -1)], "from_node string, diary_id bigint")
+    heads = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    told = search.linked_diaries(mentions, heads, ["node_id"])
+    assert rows(told, "node_id", "diary_id") == sorted([("a", d) for d in range(1, 50)] + [("b", 1)], key=repr)
+    assert exchanges(told).count("node_id") == 1  # the asked nodes, not the mentions
