@@ -51,3 +51,14 @@ def test_a_node_of_all_diaries_is_no_shuffle_key(spark, no_auto_broadcast):
     told = search.linked_diaries(mentions, heads, ["node_id"])
     assert rows(told, "node_id", "diary_id") == sorted([("a", d) for d in range(1, 50)] + [("b", 1)], key=repr)
     assert exchanges(told).count("node_id") == 1  # the asked nodes, not the mentions
+
+
+def test_a_frequent_token_of_the_index_is_dealt_over_tasks(spark, tmp_path):
+    atoms = spark.createDataFrame([(i, f"always w{i}") for i in range(400)], "atom_id bigint, content string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    search.write_index(atoms, str(tmp_path))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = spark.read.parquet(f"{tmp_path}/postings")
+    hot = kept.filter("token = 'always'")
+    assert hot.count() == 400 and kept.count() == 800
+    assert hot.select(F.input_file_name()).distinct().count() > 1
