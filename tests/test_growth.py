@@ -62,3 +62,28 @@ def test_a_frequent_token_of_the_index_is_dealt_over_tasks(spark, tmp_path):
     hot = kept.filter("token = 'always'")
     assert hot.count() == 400 and kept.count() == 800
     assert hot.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_many_fillers_are_numbered_like_few(spark, monkeypatch):
+    rnd = random.Random(6)
+    atoms = spark.createDataFrame([(i, rnd.choice([None, 0.1, 0.2, 0.3]), rnd.choice(["active", "active", "dormant"])) for i in range(60)],
+                                  "atom_id bigint, importance double, status string")
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id bigint")
+    ranked = spark.createDataFrame([(1, 5, 1), (1, 7, 2), (3, 59, 1)], "query_id bigint, atom_id bigint, rank int")
+    for k in (20, 100):
+        monkeypatch.setattr(search, "_FILLERS", 1 << 30)
+        few = search.backfill(ranked, atoms, queries, k)
+        want = rows(few, "query_id", "atom_id", "rank")
+        monkeypatch.setattr(search, "_FILLERS", 0)
+        many = search.backfill(ranked, atoms, queries, k)
+        assert rows(many, "query_id", "atom_id", "rank") == want and many.schema == few.schema
+
+
+def test_ties_meet_ranked_rows_without_a_shuffle_by_user(spark, no_auto_broadcast):
+    ranked = spark.createDataFrame([(1, i, i) for i in range(1, 20)], "query_id bigint, atom_id bigint, rank int")
+    atoms = spark.createDataFrame([(i, f"u{i % 3}") for i in range(1, 20)], "atom_id bigint, user_id string")
+    queries = spark.createDataFrame([(1, "u0")], "query_id bigint, user_id string")
+    edges = spark.createDataFrame([("u0", "u1", "friend_of", 0.5)], "from_user string, to_user string, relation_type string, weight double")
+    out = search.social_rerank(ranked, atoms, queries, edges, 3)
+    assert "uid, owner" not in exchanges(out)
+    assert [tuple(r) for r in out.orderBy("rank").select("atom_id", "score").collect()] == [(3, 1.155556), (1, 1.15), (4, 0.958333)]
