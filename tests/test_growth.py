@@ -87,3 +87,13 @@ def test_ties_meet_ranked_rows_without_a_shuffle_by_user(spark, no_auto_broadcas
     out = search.social_rerank(ranked, atoms, queries, edges, 3)
     assert "uid, owner" not in exchanges(out)
     assert [tuple(r) for r in out.orderBy("rank").select("atom_id", "score").collect()] == [(3, 1.155556), (1, 1.15), (4, 0.958333)]
+
+
+def test_neighbors_count_an_edge_between_two_asked_nodes_once(spark, no_auto_broadcast):
+    nodes = spark.createDataFrame([("entity:ab", "ab", "entity"), ("entity:abc", "abc", "entity"), ("entity:x", "x", "entity")], "node_id string, name string, type string")
+    e = [("entity:ab", "entity:abc", "r", 1.0, "active")] * 2 + [("entity:x", "entity:ab", "r", 2.0, "active"), ("entity:x", "entity:x", "r", 3.0, "active")]
+    edges = spark.createDataFrame(e, "from_node string, to_node string, relation_type string, weight double, status string")
+    names = spark.createDataFrame([(1, "ab"), (2, "x"), (None, "ab")], "query_id bigint, name string")
+    kept = graph.neighbors(nodes, edges, names)[1]
+    assert rows(kept, "query_id", "weight") == sorted([(1, 1.0), (1, 2.0), (2, 2.0), (2, 3.0), (None, 1.0), (None, 2.0)], key=repr)
+    assert "from_node" not in exchanges(kept) and "to_node" not in exchanges(kept)
