@@ -64,6 +64,18 @@ def test_a_frequent_token_of_the_index_is_dealt_over_tasks(spark, tmp_path):
     assert hot.select(F.input_file_name()).distinct().count() > 1
 
 
+def test_matches_of_a_row_are_added_up_where_its_postings_lie(spark, no_auto_broadcast):
+    atoms = spark.createDataFrame([(i % 50, f"alpha w{i % 7} w{i % 3}") for i in range(60)], "atom_id bigint, content string")
+    terms = spark.createDataFrame([(q, t) for q in range(3) for t in ("alpha", f"w{q}", "none")], "query_id bigint, token string")
+    scores = search.bm25_scores(atoms, terms, "atom_id", "content")
+    assert not [k for k in exchanges(scores) if "query_id" in k and "atom_id" in k]
+    index = {"index": search.postings(atoms, "atom_id", "content"), "stats": search.corpus_stats(atoms, "content")}
+    cols = ("query_id", "atom_id", "bm25")
+    assert rows(scores, *cols) == rows(search.bm25_scores(atoms, terms, "atom_id", "content", **index), *cols)
+    one = scores.filter("query_id = 0").count()
+    assert one == 50  # every row holds the common token
+
+
 def test_many_fillers_are_numbered_like_few(spark, monkeypatch):
     rnd = random.Random(6)
     atoms = spark.createDataFrame([(i, rnd.choice([None, 0.1, 0.2, 0.3]), rnd.choice(["active", "active", "dormant"])) for i in range(60)],
