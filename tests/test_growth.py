@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import session
-from recollect.operators import graph, search, similarity
+from recollect.operators import dedup, graph, search, similarity
 
 
 def rows(df, *cols):
@@ -109,3 +109,14 @@ def test_neighbors_count_an_edge_between_two_asked_nodes_once(spark, no_auto_bro
     kept = graph.neighbors(nodes, edges, names)[1]
     assert rows(kept, "query_id", "weight") == sorted([(1, 1.0), (1, 2.0), (2, 2.0), (2, 3.0), (None, 1.0), (None, 2.0)], key=repr)
     assert "from_node" not in exchanges(kept) and "to_node" not in exchanges(kept)
+
+
+def test_similar_pairs_are_not_shuffled_for_their_user(spark, no_auto_broadcast):
+    atoms = spark.createDataFrame(
+        [(1, "u", "one two three", [1.0, 0.1], "active"), (2, "u", "one two four", [1.0, 0.2], "active"), (3, "v", "one two three", [1.0, 0.1], "active"),
+         (4, "u", "one two three", [1.0, 0.1], "active"), (5, "u", "nine ten", [1.0, 0.1], "active")],
+        "atom_id bigint, user_id string, content string, embedding array<double>, status string").withColumn("importance", F.lit(0.5))
+    out = dedup.similar_pairs(atoms, 0.5, 0.3)
+    assert rows(out, "user_id", "l_id", "r_id") == [("u", 1, 2)]
+    assert "l_id" not in exchanges(out)
+    assert dict(dedup._copy_groups(atoms, dedup.text.words, hashed=True).dtypes)["tokens"] == "array<bigint>"
